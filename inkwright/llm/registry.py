@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, line_dedup, secrets, token_counts
+from . import avi, decontaminate, line_dedup, secrets, simhash, token_counts
 from ._arrow import table
 
 
@@ -19,10 +19,18 @@ def op1_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_avi_shots, op3_token_counts, op7_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_avi_shots, op2_decontaminate, op3_token_counts, op5_simhash, op7_secret_scan, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": line_dedup.ORACLE.format(docs="documents") + "SELECT d.doc_id, k.text, d.lang, d.source, d.n_chars, k.removed_lines FROM documents d JOIN kept k ON k.doc_id = d.doc_id",
