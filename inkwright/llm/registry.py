@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, decontaminate, line_dedup, packing, secrets, simhash, token_counts
+from . import avi, decontaminate, language_id, line_dedup, packing, quality, secrets, simhash, token_counts
 from ._arrow import table
 
 
@@ -31,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -39,11 +43,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_avi_shots, op2_decontaminate, op3_token_counts, op5_simhash, op7_secret_scan, op8_best_fit_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_avi_shots, op2_decontaminate, op3_token_counts, op5_simhash, op6_language_id, op7_secret_scan, op8_best_fit_packing, op9_quality, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": line_dedup.ORACLE.format(docs="documents") + "SELECT d.doc_id, k.text, d.lang, d.source, d.n_chars, k.removed_lines FROM documents d JOIN kept k ON k.doc_id = d.doc_id",
