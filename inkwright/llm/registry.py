@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, decontaminate, language_id, line_dedup, packing, quality, secrets, simhash, token_counts
+from . import avi, backoff, decontaminate, language_id, line_dedup, packing, quality, secrets, simhash, token_counts
 from ._arrow import table
 
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,8 +55,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_avi_shots, op2_decontaminate, op3_token_counts, op5_simhash, op6_language_id, op7_secret_scan, op8_best_fit_packing, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_avi_shots, op2_decontaminate, op3_token_counts, op4_stupid_backoff, op5_simhash, op6_language_id, op7_secret_scan, op8_best_fit_packing, op9_quality, op10_line_dedup)}
 
 ORACLES = {
+    "op4_stupid_backoff": backoff.SQL,
     "op10_line_dedup": line_dedup.ORACLE.format(docs="documents") + "SELECT d.doc_id, k.text, d.lang, d.source, d.n_chars, k.removed_lines FROM documents d JOIN kept k ON k.doc_id = d.doc_id",
 }
