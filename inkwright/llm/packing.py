@@ -201,8 +201,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         seen += 1
         if step is None or waste + step[2] * step[0] > (used - 1) * capacity - total:
             if step is not None:  # fewer times over may still do, if once does
-                times = ((used - 1) * capacity - total - waste) // step[2]
-                step = (times, step[1], step[2]) if times > 0 else None
+                spare = (used - 1) * capacity - total - waste
+                step = (spare // step[2], step[1], step[2]) if 0 < step[2] <= spare else None
             if step is None:
                 stack.pop()
                 if path:
