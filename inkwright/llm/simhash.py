@@ -16,7 +16,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._arrow import cut, map_texts, texts
 
@@ -190,6 +192,40 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _placed(own: DataFrame) -> DataFrame:
+    """fp, least (its smallest doc_id) and root (its component) of every distinct fingerprint of own (doc_id, fp)."""
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected(links(distinct, distinct.count()))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of df, all columns as they were: of its smallest doc_id, null last.
+
+    Of rows that share that id the one of the smallest fingerprint stays, and of equal fingerprints the
+    first text in order. Texts are fingerprinted again where they are kept, as ids alone may be
+    repeated or null.
+    """
+    placed = _placed(cut(fingerprints(df, id_col, text_col)))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("b")).select(F.col("b.least").alias("keep_id"), F.col("b.fp").alias("keep_fp"))
+    mine = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    inner = df.toDF(*mine.values())
+    text_at = list(mine).index(text_col)
+
+    def add(batches):
+        import xxhash
+
+        for batch in batches:
+            fps = [fingerprint(t or "", xxhash.xxh64_intdigest) for t in batch.column(text_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "fp"])
+
+    known = inner.mapInArrow(add, StructType([*inner.schema.fields, StructField("fp", LongType())]))
+    doc_id = F.col(mine[id_col]).cast("long")
+    kept = known.join(best, (F.col("fp") == F.col("keep_fp")) & doc_id.eqNullSafe(F.col("keep_id")))
+    first = F.row_number().over(W.partitionBy("keep_fp", "keep_id").orderBy(mine[text_col]))
+    return kept.withColumn("nth", first).filter("nth = 1").select(*[F.col(m).alias(c) for c, m in mine.items()])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of df.
 
@@ -199,9 +235,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows; other columns are ignored; an empty table gives none.
     """
     own = cut(fingerprints(df, id_col, text_col))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(distinct, distinct.count()))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(own)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids, "root").select(F.col("fp").alias("named"), "component_id")
     return own.join(named, F.col("fp") == F.col("named")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
