@@ -20,6 +20,7 @@ BUCKETS = 1 << 15
 INDEPENDENT = 60  # trigrams that count in full; of longer texts the mean counts so often
 PRIOR_ROWS = 10.0  # rows' worth of the level above in a host's, domain's or suffix's prior
 EVIDENCE_ROWS = 1.0  # rows' worth of an even spread in what is declared
+BROADCAST_ROWS = 20_000  # of a table of soft counts, at some hundred bytes each
 LEAST = 0.5  # posterior of an accepted row
 _LETTER = r"\p{L}"
 
@@ -119,13 +120,14 @@ def fuse(df: DataFrame, model: Model) -> DataFrame:
     everything = [(whole[f"g{i}"] or 0.0) for i in range(n)]
     total = sum(everything)
     tables = {key: by.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(*_sums(n, f"{key}_")) for key in ("declared", "suffix", "domain", "host")}
-    kinds = {key: tables[key].count() for key in ("declared", "suffix")}
+    kinds = {key: counts.count() for key, counts in tables.items()}
 
     out = _likelihoods(df, model)
     p = [f"p{i}" for i in range(n)]
     out = out.select("*", *[x.alias(name) for x, name in zip(_soft(ll), p)])
     for key, counts in tables.items():
-        out = out.join(counts, F.col(key) == F.col(f"{key}_key"), "left")
+        # a table this small may go to every executor; a larger one meets the rows by a shuffle, whose hot keys are split at run time
+        out = out.join(F.broadcast(counts) if kinds[key] <= BROADCAST_ROWS else counts, F.col(key) == F.col(f"{key}_key"), "left")
     less = lambda key, i: F.greatest(F.coalesce(F.col(f"{key}_{i}"), F.lit(0.0)) - F.when(F.col(key).isNull(), 0.0).otherwise(F.col(p[i])), F.lit(0.0))
     prior = [(F.lit(everything[i]) - F.col(p[i]) + 1.0 / n) / (total - 1 + 1.0) if total > 0 else F.lit(1.0 / n) for i in range(n)]
     prior = [F.greatest(x, F.lit(1e-9)) for x in prior]
