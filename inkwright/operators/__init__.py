@@ -1 +1 @@
-
+"""DataFrame operators over lines, pages, readings, checks, boxes and tables."""

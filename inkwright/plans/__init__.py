@@ -1 +1 @@
-
+"""Named queries and their DuckDB twins."""

@@ -1 +1 @@
-
+"""Readers: tables to files, pages, lines, blocks and boxes."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the neighbour rules and of completion."""
