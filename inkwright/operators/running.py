@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.functions import text as T
+from inkwright.functions.arrow import arrow
 
 PAIR = 0.5  # likeness from which two pages can be one
 REACH = 2  # pages by which a page of the new issue may have moved
@@ -64,46 +65,133 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def likeness(old: DataFrame, new: DataFrame, reach: int = REACH) -> DataFrame:
-    """file, old_page, new_page, likeness of pages at most `reach` apart: an equi-join on the page announced."""
-    a = old.select("file", F.col("page").alias("old_page"), T.bigrams(T.words(F.col("text"))).alias("a"), F.explode(F.sequence(F.col("page") - reach, F.col("page") + reach)).alias("new_page"))
-    b = new.select("file", F.col("page").alias("new_page"), T.bigrams(T.words(F.col("text"))).alias("b"))
-    return a.join(b, ["file", "new_page"]).select("file", "old_page", "new_page", jaccard(F.col("a"), F.col("b")).alias("likeness"))
+def classes(paged: DataFrame) -> DataFrame:
+    """paged (file, page, text) with g, its set of word pairs, and cls, 128 bits that name the set: pages of equal sets are one class."""
+    out = paged.withColumn("g", T.bigrams(T.words(F.coalesce("text", F.lit("")))))
+    joined = F.array_join("g", "\n")
+    return out.withColumn("cls", F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b")))
 
 
-def paired(likely: DataFrame, least: float = PAIR) -> DataFrame:
-    """file, old_page, new_page, likeness: the pairing that keeps the order of pages and has the greatest total likeness.
+def likeness(old: DataFrame, new: DataFrame, least: float = PAIR) -> DataFrame:
+    """file, old_cls, new_cls, old_page, new_page, likeness: the classes of two issues (see classes) that are alike to `least`, each with its first page.
 
-    Only the pairs of at least `least` enter, and at most 2 * reach + 1 of them a page, so a file costs
-    its pages and not their square. Ties go to the earlier pages.
+    Two sets that alike share one of the n - ceil(least * n) + 1 rarest pairs of each, so only those are
+    joined, on file and pair; what meets is verified. Copies are one class and never multiply; a page
+    without words is alike to another such page.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.itertuples(index=False), key=lambda r: (r.old_page, -r.new_page))
-        pages = sorted(set(pdf.new_page))
-        rank = {p: i + 1 for i, p in enumerate(pages)}
-        tree: list[tuple[float, int]] = [(0.0, -1)] * (len(pages) + 1)  # Fenwick tree of the best sum up to a new page
-        back: list[int] = []
-        best = (0.0, -1)
-        for k, r in enumerate(rows):
-            i, sofar = rank[r.new_page] - 1, (0.0, -1)
-            while i:
-                if tree[i][0] > sofar[0]:
-                    sofar = tree[i]
-                i -= i & -i
-            back.append(sofar[1])
-            here = (sofar[0] + r.likeness, k)
-            i = rank[r.new_page]
-            while i < len(tree):
-                if here[0] > tree[i][0]:
-                    tree[i] = here
-                i += i & -i
-            if here[0] > best[0]:
-                best = here
-        out, k = [], best[1]
-        while k >= 0:
-            out.append(rows[k])
-            k = back[k]
-        return pd.DataFrame(out[::-1], columns=pdf.columns)
-
-    return likely.filter(F.col("likeness") >= least).groupBy("file").applyInPandas(walk, likely.schema)
+    side = lambda df, new_side: df.groupBy("file", "cls").agg(F.first("g").alias("g"), F.min("page").alias("page")).withColumn("new", F.lit(new_side))
+    both = side(old, False).union(side(new, True))
+    grams = both.select("file", "cls", "new", F.explode(F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.lit("")))).alias("gram"))
+    often = grams.groupBy("file", "gram").agg(F.count("*").alias("n"))
+    ranked = grams.join(often, ["file", "gram"]).groupBy("file", "cls", "new").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("r"))
+    size = F.size("r")
+    prefix = ranked.select("file", "cls", "new", F.explode(F.slice("r", F.lit(1), size - F.ceil(size * least).cast("int") + 1)).alias("x"))
+    a = prefix.filter("NOT new").select("file", F.col("x.gram").alias("gram"), F.col("cls").alias("old_cls"))
+    b = prefix.filter("new").select("file", F.col("x.gram").alias("gram"), F.col("cls").alias("new_cls"))
+    met = a.join(b, ["file", "gram"]).select("file", "old_cls", "new_cls").distinct()
+    own = lambda flag, name: both.filter(F.col("new") == flag).select("file", F.col("cls").alias(f"{name}_cls"), F.col("g").alias(f"{name}_g"), F.col("page").alias(f"{name}_page"))
+    full = met.join(own(False, "old"), ["file", "old_cls"]).join(own(True, "new"), ["file", "new_cls"])
+    out = full.withColumn("likeness", jaccard(F.col("old_g"), F.col("new_g"))).filter(F.col("likeness") >= least)
+    return out.select("file", "old_cls", "new_cls", "old_page", "new_page", "likeness")
+
+
+def align(a: list, b: list, like: dict) -> list[tuple[int, int, float]]:
+    """(place in a, place in b, likeness): the pairing of two sequences of classes that keeps their order and has the greatest total likeness.
+
+    Equal heads and tails pair at once, as nothing is worth more. Between them each place meets only the
+    places of classes that it is alike to, over a Fenwick tree of the best sums: the pairs times their logarithm.
+    """
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    places: dict = {}
+    for j in range(low, len(b) - high):
+        places.setdefault(b[j], []).append(j)
+    tree: list[tuple[float, int]] = [(0.0, -1)] * (len(b) + 2)
+    found: list[tuple[int, int, float, int]] = []
+    for i in range(low, len(a) - high):
+        row = sorted(((j, s) for c, s in like.get(a[i], {}).items() for j in places.get(c, ())), reverse=True)
+        for j, s in row:  # from the last on, so that a row never builds on itself
+            k, best = j, (0.0, -1)
+            while k:
+                best = max(best, tree[k], key=lambda t: t[0])
+                k -= k & -k
+            found.append((i, j, s, best[1]))
+            now, k = (best[0] + s, len(found) - 1), j + 1
+            while k < len(tree):
+                if now[0] > tree[k][0]:
+                    tree[k] = now
+                k += k & -k
+    k, best = len(b) + 1, (0.0, -1)
+    while k:
+        best = max(best, tree[k], key=lambda t: t[0])
+        k -= k & -k
+    middle, at = [], best[1]
+    while at >= 0:
+        i, j, s, at = found[at]
+        middle.append((i, j, s))
+    return [(i, i, 1.0) for i in range(low)] + middle[::-1] + [(len(a) - high + k, len(b) - high + k, 1.0) for k in range(high)]
+
+
+MATCHES = "file string, old_page long, new_page long, likeness double"
+
+
+def matched(old: DataFrame, new: DataFrame, least: float = PAIR) -> DataFrame:
+    """file, old_page, new_page, likeness: every page of both issues once, paired in order; null where it is dropped or new.
+
+    A file's alignment is one sequence and so one group, of two numbers a page and a row for each pair of
+    like classes; its texts stay out of it.
+    """
+    alike = likeness(old, new, least)
+    key = lambda c: F.concat_ws(":", F.col(f"{c}.a"), F.col(f"{c}.b"))
+    pages = old.select("file", "page", F.lit(False).alias("new"), key("cls").alias("c")).union(new.select("file", "page", F.lit(True).alias("new"), key("cls").alias("c")))
+    likes = alike.select("file", key("old_cls").alias("o"), key("new_cls").alias("n"), "likeness")
+
+    def walk(key, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("page")
+        a, b = own[~own.new], own[own.new]
+        like: dict = {}
+        for r in near.itertuples(index=False):
+            like.setdefault(r.o, {})[r.n] = r.likeness
+        pa, pb = a.page.tolist(), b.page.tolist()
+        pairs = align(a.c.tolist(), b.c.tolist(), like)
+        mine, its = {i for i, _, _ in pairs}, {j for _, j, _ in pairs}
+        rows = [(key[0], pa[i], pb[j], s) for i, j, s in pairs] + [(key[0], pa[i], None, None) for i in range(len(pa)) if i not in mine] + [(key[0], None, pb[j], None) for j in range(len(pb)) if j not in its]
+        out = pd.DataFrame(rows, columns=["file", "old_page", "new_page", "likeness"])
+        return out.astype({"old_page": "Int64", "new_page": "Int64"})
+
+    new_ids = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides come from the same tables
+    return new_ids(pages).groupBy("file").cogroup(new_ids(likes).groupBy("file")).applyInPandas(walk, MATCHES)
+
+
+def classed(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """matches with kind: same, restamped (only numbers and months differ in what runs), changed, new or dropped. old, new: file, page, body, running."""
+    o = old.select("file", F.col("page").alias("old_page"), F.col("body").alias("_ob"), F.col("running").alias("_or"))
+    n = new.select("file", F.col("page").alias("new_page"), F.col("body").alias("_nb"), F.col("running").alias("_nr"))
+    out = matches.join(o, ["file", "old_page"], "left").join(n, ["file", "new_page"], "left")
+    kind = (
+        F.when(F.col("old_page").isNull(), "new").when(F.col("new_page").isNull(), "dropped")
+        .when((F.col("_ob") == F.col("_nb")) & (F.col("_or") == F.col("_nr")), "same")
+        .when((F.col("_ob") == F.col("_nb")) & (F.transform("_or", T.fold) == F.transform("_nr", T.fold)), "restamped").otherwise("changed")
+    )
+    return out.select("file", "old_page", "new_page", "likeness", kind.alias("kind"))
+
+
+@arrow("struct<figures:array<string>,wording:array<string>>")
+def changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """The stretches of words that differ between two texts, as old -> new; figures where either has a digit, wording else."""
+    import difflib
+
+    rows = []
+    for a, b in zip(old, new):
+        a, b = (a or "").split(), (b or "").split()
+        sides: dict[bool, list[str]] = {True: [], False: []}
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if tag != "equal":
+                x, y = " ".join(a[i:j]), " ".join(b[k:m])
+                sides[any(ch.isdigit() for ch in x + y)].append(f"{x} -> {y}")
+        rows.append((sides[True], sides[False]))
+    return pd.DataFrame(rows, columns=["figures", "wording"])

@@ -3,6 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """df with all whole numbers as longs, as SQL engines count."""
+    return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
 class Named:
@@ -14,9 +23,13 @@ class Named:
 
     def __call__(self, sql: str | None = None):
         def add(fn: Callable) -> Callable:
-            self.queries[fn.__name__] = fn
+            @wraps(fn)
+            def run(spark, sf_dir):
+                return longs(fn(spark, sf_dir))
+
+            self.queries[fn.__name__] = run
             if sql:
                 self.oracles[fn.__name__] = sql
-            return fn
+            return run
 
         return add

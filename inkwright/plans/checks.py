@@ -1,2 +1,186 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of the checks and of the scores rolled up from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkwright.functions import text as T
+from inkwright.operators import checks as C
+from inkwright.operators import scoring as S
+from inkwright.sources import adapters as A
+
+from ._named import Named
+from .quality import _rep
+
+query = Named()
+NORM = lambda c: "translate(" + _rep(_rep(_rep(_rep(_rep(_rep(_rep(c, "<br/?>", " "), r"\*\*([^\n]*?)\*\*", r"\1"), r"__([^\n]*?)__", r"\1"), "</?[bi]>"), r"\*([^\n]*?)\*", r"\1"), r"_([^\n]*?)_", r"\1"), r"[\s\p{Z}]+", " ") + ", '‘’‚“”„＿–—‑‒−µ', '''''''\"\"\"_-----μ')"
+
+
+def page_checks(spark, sf_dir):
+    """A check of each kind on each page: its first line is looked for on it, and its last behind its first."""
+    pages = A.pages(A.read(spark, sf_dir, "documents").filter("text IS NOT NULL"))
+    lines = F.split("text", "\n")
+    own = pages.select(F.col("file").alias("pdf"), F.col("page").cast("int").alias("page"), F.col("text").alias("md"), F.get(lines, 0).alias("first"), F.element_at(lines, -1).alias("last"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("type"), q.alias("text"), b.alias("before"), a.alias("after")) for t, q, b, a in (
+        ("present", F.col("first"), F.lit(None).cast("string"), F.lit(None).cast("string")), ("absent", F.col("last"), F.lit(None).cast("string"), F.lit(None).cast("string")),
+        ("order", F.lit(None).cast("string"), F.col("first"), F.col("last")), ("baseline", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")))])).alias("k")
+    rows = own.select("pdf", "page", "md", kinds).select("pdf", "page", "md", "k.*").withColumn("id", F.concat_ws("_", "pdf", "page", "type"))
+    return rows.filter("type = 'baseline' OR trim(coalesce(text, before)) <> ''").withColumn("max_diffs", F.lit(0))
+
+
+def _checks(rows):
+    import pyspark.sql.types as K
+
+    schema = K._parse_datatype_string(C.SCHEMA)
+    return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def exact_rows(spark, sf_dir, kind):
+    rows = page_checks(spark, sf_dir).filter(F.col("type") == kind)
+    return C.exact(_checks(rows).withColumn("md", F.lit(None).cast("string")).drop("md").join(rows.select("id", "md"), "id")).select("pdf", "page", "passed")
+
+
+PAGES = """WITH pg AS (SELECT source AS pdf, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text, string_split(text, chr(10))[1] AS first, string_split(text, chr(10))[-1] AS last FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"{PAGES} SELECT pdf, page, contains({NORM('text')}, {NORM('first')}) AS passed FROM pg WHERE trim(first) <> ''")
+def check_present(spark, sf_dir):
+    return exact_rows(spark, sf_dir, "present")
+
+
+@query(f"{PAGES} SELECT pdf, page, NOT contains({NORM('text')}, {NORM('last')}) AS passed FROM pg WHERE trim(last) <> ''")
+def check_absent(spark, sf_dir):
+    return exact_rows(spark, sf_dir, "absent")
+
+
+@query(f"""{PAGES}, n AS (SELECT pdf, page, {NORM('text')} AS t, {NORM('first')} AS b, {NORM('last')} AS a FROM pg WHERE trim(first) <> '')
+ SELECT pdf, page, contains(t, b) AND contains(t, a) AND strpos(t, b) < length(t) - strpos(reverse(t), reverse(a)) - length(a) + 2 AS passed FROM n""")
+def check_order(spark, sf_dir):
+    return exact_rows(spark, sf_dir, "order")
+
+
+@query(r"SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda x: trim(x) <> '')) AS headings, len(regexp_extract_all(html, '(?is)<b(?:\s[^>]*)?>(.*?)</b>', 1)) AS bold FROM pages")
+def check_format(spark, sf_dir):
+    rows = A.read(spark, sf_dir, "pages")
+    html = lambda form: F.regexp_extract_all("html", F.lit(form), F.lit(1))
+    return rows.select("page_id", F.size(F.filter(html(C.HEADINGS[1]), lambda x: F.trim(x) != "")).alias("headings"), F.size(html(C.BOLD[2])).alias("bold"))
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) > 0 AND NOT regexp_matches(text, '[\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]') AS passed FROM documents WHERE text IS NOT NULL")
+def check_baseline(spark, sf_dir):
+    rows = A.read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return rows.select("doc_id", C.baseline(F.col("text"), F.lit(None).cast("int"), F.lit(False), F.lit(True)).alias("passed"))
+
+
+@query()
+def check_run(spark, sf_dir):
+    rows = page_checks(spark, sf_dir)
+    outputs = rows.select("pdf", "page", "md").distinct().withColumn("repeat", F.lit(1))
+    return C.majority(C.run(_checks(rows), outputs))
+
+
+@query("SELECT 'src' || CAST(doc_id % 7 AS VARCHAR) AS id, count(*) AS n FROM labels GROUP BY ALL HAVING count(*) > 1")
+def check_duplicate_ids(spark, sf_dir):
+    rows = A.read(spark, sf_dir, "labels").select(F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")).alias("id"))
+    return C.duplicate_ids(rows)
+
+
+def outcomes(spark, sf_dir):
+    """doc_id, lang, file, a and b: labels as what two runs passed."""
+    docs = A.read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("file"))
+    labels = A.read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))
+    return docs.join(labels, "doc_id")
+
+
+def run_of(spark, sf_dir, which="a"):
+    return outcomes(spark, sf_dir).withColumn("passed", F.col(which))
+
+
+OUT = "WITH o AS (SELECT d.doc_id, d.lang, d.source AS file, l.quality = 1 AS a, l.toxic = 0 AS b FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+@query(OUT + " SELECT lang, count(*) AS total, count(*) FILTER (a) AS passed, count(*) FILTER (a) / count(*) AS rate FROM o GROUP BY lang")
+def score_by_category(spark, sf_dir):
+    return S.rates(run_of(spark, sf_dir), "lang")
+
+
+@query(OUT + " SELECT lang, file, count(*) AS total, count(*) FILTER (a) AS passed FROM o GROUP BY ROLLUP (lang, file)")
+def score_rollup(spark, sf_dir):
+    return S.rollup(run_of(spark, sf_dir), "lang", "file")
+
+
+@query(OUT + ", c AS (SELECT lang, count(*) FILTER (a) / count(*) AS r FROM o GROUP BY lang) SELECT count(*) AS categories, round(avg(r), 9) AS score FROM c")
+def score_macro(spark, sf_dir):
+    return S.macro(run_of(spark, sf_dir), "lang").withColumn("score", F.round("score", 9))
+
+
+HEX = "list_sum(list_transform(string_split(sha1('src' || doc_id), ''), lambda c: CASE WHEN c = '' THEN 0 ELSE strpos('0123456789abcdef', c) - 1 END)) % 5 = 0"
+
+
+def _named(spark, sf_dir):
+    return A.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src"), F.col("doc_id").cast("string")).alias("name"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {HEX} THEN 'held-out' ELSE 'tuned-on' END AS bucket FROM documents")
+def holdout_sha1_mod5(spark, sf_dir):
+    return _named(spark, sf_dir).select("doc_id", S.split(F.col("name")).alias("bucket"))
+
+
+FIRST = "('0x' || sha1('src' || doc_id)[1:8])::BIGINT"
+
+
+@query(f"SELECT doc_id, CASE WHEN {FIRST} % 5 = 0 THEN 'held-out' ELSE 'tuned-on' END AS bucket FROM documents")
+def holdout_hex8_mod5(spark, sf_dir):
+    return _named(spark, sf_dir).select("doc_id", S.split(F.col("name"), "hex5").alias("bucket"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {FIRST} % 2 = 1 THEN 'held-out' ELSE 'tuned-on' END AS bucket FROM documents")
+def holdout_hex8_mod2(spark, sf_dir):
+    return _named(spark, sf_dir).select("doc_id", S.split(F.col("name"), "hex2").alias("bucket"))
+
+
+@query(OUT + f""", h AS (SELECT lang, a, {HEX} AS held FROM o) SELECT lang, count(*) FILTER (held) AS held_out_total, count(*) FILTER (held AND a) AS held_out_passed,
+  count(*) FILTER (NOT held) AS tuned_on_total, count(*) FILTER (NOT held AND a) AS tuned_on_passed FROM h GROUP BY lang""")
+def holdout_pivot(spark, sf_dir):
+    return S.holdout_pivot(run_of(spark, sf_dir), "lang", S.split(F.concat(F.lit("src"), F.col("doc_id").cast("string"))))
+
+
+@query(OUT + " SELECT lang, count(*) FILTER (NOT a AND b) AS gains, count(*) FILTER (a AND NOT b) AS losses FROM o WHERE a <> b GROUP BY lang")
+def run_gains_losses(spark, sf_dir):
+    rows = outcomes(spark, sf_dir)
+    return S.gains_losses(rows.filter("NOT a"), rows.filter("NOT b"), ["doc_id"], "lang")
+
+
+@query(OUT + """, c AS (SELECT lang, count(*) FILTER (a) AS passed_a, count(*) FILTER (b) AS passed_b, count(*) AS total FROM o GROUP BY lang)
+  SELECT lang, total, passed_a, passed_b, passed_b - passed_a AS moved, CASE WHEN passed_b - passed_a <= -10 THEN 'lost ground' WHEN passed_b > passed_a THEN '+' ELSE '' END AS mark FROM c""")
+def run_side_by_side(spark, sf_dir):
+    return S.side_by_side(run_of(spark, sf_dir), run_of(spark, sf_dir, "b"), "lang")
+
+
+@query(OUT + ", c AS (SELECT file, count(*) FILTER (a) AS passed_a, count(*) FILTER (b) AS passed_b, count(*) AS total FROM o GROUP BY file) SELECT *, passed_b - passed_a AS delta FROM c WHERE passed_a <> passed_b")
+def page_deltas(spark, sf_dir):
+    return S.page_deltas(run_of(spark, sf_dir), run_of(spark, sf_dir, "b"), "file")
+
+
+@query(OUT + " SELECT doc_id FROM o WHERE NOT a AND NOT b")
+def failed_everywhere(spark, sf_dir):
+    rows = run_of(spark, sf_dir).select("doc_id", "passed").union(run_of(spark, sf_dir, "b").select("doc_id", "passed"))
+    return S.failed_everywhere(rows, "doc_id")
+
+
+@query(OUT + " SELECT file, count(*) AS total, count(*) FILTER (a) AS passed, count(*) FILTER (a) / count(*) AS rate FROM o GROUP BY file ORDER BY rate, file")
+def worst_pages(spark, sf_dir):
+    return S.worst_first(run_of(spark, sf_dir), "file")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    return S.bootstrap(run_of(spark, sf_dir), "lang")
+
+
+@query(r"SELECT item_id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS key FROM benchmark")
+def benchmark_keys(spark, sf_dir):
+    return A.read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("key"))
+
+
+QUERIES, ORACLES = query.queries, query.oracles

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwright.functions import text as T
+from inkwright.operators import notes as N
 from inkwright.operators import running as R
 from inkwright.sources import adapters as A
 
@@ -20,10 +21,12 @@ RUN = lambda reach: f"EXISTS (SELECT 1 FROM ed b WHERE b.file = a.file AND b.ban
 ISSUES = P + """, old AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents WHERE doc_id % 2 = 0),
 new AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents WHERE doc_id % 2 = 1)"""
 BIGRAMS = lambda t: f"""(SELECT file, page, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1] || ' '] ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS g FROM (SELECT file, page, {WORDS} AS w FROM {t}))"""
-LIKE = ISSUES + f""", lk AS MATERIALIZED (
-  SELECT o.file, o.page AS old_page, n.page AS new_page,
-    CASE WHEN len(o.g) + len(n.g) = 0 THEN 1.0 ELSE len(list_intersect(o.g, n.g))::DOUBLE / (len(o.g) + len(n.g) - len(list_intersect(o.g, n.g))) END AS likeness
-  FROM {BIGRAMS('old')} o JOIN {BIGRAMS('new')} n ON n.file = o.file AND abs(n.page - o.page) <= 2
+LIKE = ISSUES + f""", oc AS MATERIALIZED (SELECT file, page, list_sort(g) AS g FROM {BIGRAMS('old')}), nc AS MATERIALIZED (SELECT file, page, list_sort(g) AS g FROM {BIGRAMS('new')}),
+od AS (SELECT file, g, min(page) AS page FROM oc GROUP BY file, g), nd AS (SELECT file, g, min(page) AS page FROM nc GROUP BY file, g),
+lk AS MATERIALIZED (
+  SELECT * FROM (SELECT o.file, o.page AS old_page, n.page AS new_page, o.g AS og, n.g AS ng,
+    CASE WHEN len(o.g) + len(n.g) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(o.g, n.g))::DOUBLE / (len(o.g) + len(n.g) - len(list_intersect(o.g, n.g))) END AS likeness
+  FROM od o JOIN nd n ON n.file = o.file) WHERE likeness >= 0.5
 )"""
 
 
@@ -37,8 +40,9 @@ def issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return A.pages(docs.filter("doc_id % 2 = 0")), A.pages(docs.filter("doc_id % 2 = 1"))
 
 
-def likely(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.likeness(*issues(spark, sf_dir))
+def classed_issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old, new = issues(spark, sf_dir)
+    return R.classes(old), R.classes(new)
 
 
 @query(P + " SELECT file, page, line_no, line FROM ln")
@@ -98,44 +102,64 @@ def page_bigrams(spark, sf_dir):
     return found.select("file", "page", F.size("g").cast("long").alias("n"), F.get("g", 0).alias("first"))
 
 
-@query(LIKE + " SELECT * FROM lk")
+@query(LIKE + " SELECT file, old_page, new_page, likeness FROM lk")
 def page_likeness(spark, sf_dir):
-    return likely(spark, sf_dir)
+    return R.likeness(*classed_issues(spark, sf_dir)).select("file", "old_page", "new_page", "likeness")
+
+
+@query(ISSUES + f" SELECT file, min(page) AS first, count(*) AS pages FROM (SELECT file, page, list_sort(g) AS g FROM {BIGRAMS('old')}) GROUP BY file, g")
+def page_classes(spark, sf_dir):
+    old, _ = classed_issues(spark, sf_dir)
+    return old.groupBy("file", "cls").agg(F.min("page").alias("first"), F.count("*").alias("pages")).select("file", "first", "pages")
 
 
 @query(
     LIKE
-    + f""", cl AS (SELECT o.file, o.page, regexp_replace(lower(o.text), '[0-9]+', '#', 'g') AS fo, o.text AS ot FROM old o)
-  SELECT lk.file, old_page, new_page, CASE WHEN ot = n.text THEN 'same' WHEN fo = regexp_replace(lower(n.text), '[0-9]+', '#', 'g') THEN 'restamped' ELSE 'changed' END AS kind
-  FROM lk JOIN cl ON cl.file = lk.file AND cl.page = old_page JOIN new n ON n.file = lk.file AND n.page = new_page WHERE likeness >= 0.5"""
+    + """ SELECT lk.file, old_page, new_page, CASE WHEN o.text = n.text THEN 'same' WHEN regexp_replace(lower(o.text), '[0-9]+', '#', 'g') = regexp_replace(lower(n.text), '[0-9]+', '#', 'g') THEN 'restamped' ELSE 'changed' END AS kind
+  FROM lk JOIN old o ON o.file = lk.file AND o.page = old_page JOIN new n ON n.file = lk.file AND n.page = new_page"""
 )
 def page_match_class(spark, sf_dir):
-    old, new = issues(spark, sf_dir)
+    old, new = classed_issues(spark, sf_dir)
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "#")
     kind = F.when(F.col("ot") == F.col("nt"), "same").when(plain("ot") == plain("nt"), "restamped").otherwise("changed")
     a = old.select("file", F.col("page").alias("old_page"), F.col("text").alias("ot"))
     b = new.select("file", F.col("page").alias("new_page"), F.col("text").alias("nt"))
-    pairs = R.likeness(old, new).filter("likeness >= 0.5")
-    return pairs.join(a, ["file", "old_page"]).join(b, ["file", "new_page"]).select("file", "old_page", "new_page", kind.alias("kind"))
+    return R.likeness(old, new).join(a, ["file", "old_page"]).join(b, ["file", "new_page"]).select("file", "old_page", "new_page", kind.alias("kind"))
 
 
 @query()
 def page_match_dp(spark, sf_dir):
-    return R.paired(likely(spark, sf_dir))
+    return R.matched(*classed_issues(spark, sf_dir))
+
+
+@query()
+def page_match_kinds(spark, sf_dir):
+    docs = A.read(spark, sf_dir, "documents")
+    prints = [R.prints(A.banded(A.lines(A.pages(docs.filter(f"doc_id % 2 = {k}"))))) for k in (0, 1)]
+    return R.classed(R.matched(*classed_issues(spark, sf_dir)), *prints)
 
 
-@query(LIKE + " SELECT file, page FROM old o WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.file = o.file AND old_page = o.page AND likeness >= 0.5)")
+@query()
+def page_changes(spark, sf_dir):
+    old, new = classed_issues(spark, sf_dir)
+    a = old.select("file", F.col("page").alias("old_page"), F.col("text").alias("ot"))
+    b = new.select("file", F.col("page").alias("new_page"), F.col("text").alias("nt"))
+    pairs = R.likeness(old, new).join(a, ["file", "old_page"]).join(b, ["file", "new_page"]).filter("ot <> nt")
+    return pairs.select("file", "old_page", "new_page", R.changes("ot", "nt").alias("c")).select("file", "old_page", "new_page", F.size("c.figures").alias("figures"), F.size("c.wording").alias("wording"))
+
+
+@query(LIKE + " SELECT file, page FROM oc o WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.file = o.file AND lk.og = o.g)")
 def dropped_pages(spark, sf_dir):
-    old, new = issues(spark, sf_dir)
-    met = R.likeness(old, new).filter("likeness >= 0.5").select("file", F.col("old_page").alias("page"))
-    return old.select("file", "page").join(met, ["file", "page"], "left_anti")
+    old, new = classed_issues(spark, sf_dir)
+    met = R.likeness(old, new).select("file", F.col("old_cls").alias("cls")).distinct()
+    return old.select("file", "page", "cls").join(met, ["file", "cls"], "left_anti").select("file", "page")
 
 
-@query(LIKE + " SELECT file, page FROM new n WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.file = n.file AND new_page = n.page AND likeness >= 0.5)")
+@query(LIKE + " SELECT file, page FROM nc n WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.file = n.file AND lk.ng = n.g)")
 def new_pages(spark, sf_dir):
-    old, new = issues(spark, sf_dir)
-    met = R.likeness(old, new).filter("likeness >= 0.5").select("file", F.col("new_page").alias("page"))
-    return new.select("file", "page").join(met, ["file", "page"], "left_anti")
+    old, new = classed_issues(spark, sf_dir)
+    met = R.likeness(old, new).select("file", F.col("new_cls").alias("cls")).distinct()
+    return new.select("file", "page", "cls").join(met, ["file", "cls"], "left_anti").select("file", "page")
 
 
 @query(P + " SELECT DISTINCT file, page FROM ln WHERE line IN (SELECT line FROM ln GROUP BY line HAVING count(DISTINCT doc_id) > 1) AND length(line) >= 40")
@@ -146,4 +170,46 @@ def shared_passages(spark, sf_dir):
     return hashed.join(often, ["h", "h2"], "left_semi").select("file", "page").distinct()
 
 
+NUMBERS = EDGES + r""", nu AS MATERIALIZED (SELECT DISTINCT file, page, CAST(v AS BIGINT) AS value, i <= len(vs) / 2 AS left FROM (
+  SELECT file, page, vs, generate_subscripts(vs, 1) AS i, unnest(vs) AS v FROM (SELECT file, page, regexp_extract_all(line, '[0-9]{1,4}') AS vs FROM ed)))"""
+
+
+def edge_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of edge lines, the earlier half of a line's counted as its left."""
+    found = R.edge_lines(banded(spark, sf_dir)).select("file", "page", F.regexp_extract_all("line", F.lit("[0-9]{1,4}"), F.lit(0)).alias("vs"))
+    each = found.select("file", "page", "vs", F.posexplode("vs").alias("i", "v"))
+    return each.select("file", "page", F.col("v").cast("long").alias("value"), (F.col("i") + 1 <= F.size("vs") / 2).alias("left")).distinct()
+
+
+@query(
+    NUMBERS
+    + """ SELECT DISTINCT file, page, value, "left" FROM nu a WHERE EXISTS (SELECT 1 FROM nu b WHERE b.file = a.file AND b.page <> a.page AND abs(b.page - a.page) <= 2
+  AND (b.value - a.value = b.page - a.page OR (b.value - a.value = 2 * (b.page - a.page) AND b."left" = a."left")))"""
+)
+def printed_number_runs(spark, sf_dir):
+    return N.running_numbers(edge_numbers(spark, sf_dir))
+
+
+@query(
+    NUMBERS
+    + """, pg2 AS (SELECT file, page, list(DISTINCT value - page) AS ds FROM nu GROUP BY file, page), nb AS (
+  SELECT n.file, n.page, n.value, (SELECT ds FROM pg2 p WHERE p.file = n.file AND p.page IN (n.page - 1, n.page - 2) ORDER BY page DESC LIMIT 1) AS b,
+         (SELECT ds FROM pg2 p WHERE p.file = n.file AND p.page IN (n.page + 1, n.page + 2) ORDER BY page LIMIT 1) AS a FROM nu n)
+  SELECT file, page, value, CASE WHEN len(list_intersect(a, b)) > 0 THEN list_contains(list_intersect(a, b), value - page) END AS counts FROM nb"""
+)
+def number_counts_pages(spark, sf_dir):
+    return N.counts_pages(edge_numbers(spark, sf_dir))
+
+
+@query(
+    EDGES
+    + """ SELECT file, page, line_no, CASE WHEN EXISTS (SELECT 1 FROM ed b WHERE b.file = a.file AND b.page <> a.page AND abs(b.page - a.page) <= 2 AND abs(b.line_no - a.line_no) <= 1
+    AND lower(trim(regexp_replace(b.line, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(a.line, '\\s+', ' ', 'g')))) THEN true
+    WHEN EXISTS (SELECT 1 FROM ed b WHERE b.file = a.file AND b.page <> a.page AND abs(b.page - a.page) <= 2) THEN false END AS runs FROM ed a"""
+)
+def runs_beside(spark, sf_dir):
+    edges = R.edge_lines(banded(spark, sf_dir)).select("file", "page", "line_no", "line", F.lit(0.0).alias("x0"), F.col("line_no").cast("double").alias("y0"))
+    return N.runs_beside(edges, near=1.0).select("file", "page", "line_no", "runs")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

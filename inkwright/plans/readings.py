@@ -1,2 +1,112 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries that hold one reading of a page against another: user turns witness what the assistant says."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkwright.functions import text as T
+from inkwright.operators import bags as B
+from inkwright.operators import readings as R
+from inkwright.sources import adapters as A
+
+from ._named import Named
+
+query = Named()
+
+
+def pairs(spark, sf_dir):
+    """conv_id, turn, own, reading: each user turn and the turn behind it, by an equi-join on the turn announced."""
+    rows = A.read(spark, sf_dir, "conversations")
+    own = rows.filter("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("own"))
+    reply = rows.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("reading"))
+    return own.join(reply, ["conv_id", "turn"])
+
+
+PAIRS = "pr AS (SELECT u.conv_id, u.turn, u.text AS own, a.text AS reading FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
+_LETTERS = lambda c: ", ".join(f"{{'n': length(regexp_replace(array_to_string(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]{{3,}}'), ''), '[^\\p{{{s}}}]', '', 'g')), 'at': {-i}, 's': '{s}'}}" for i, s in enumerate(T.SCRIPTS))
+WORDS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]{{3,}}')"
+VERDICT = f"""{PAIRS}, wd AS (SELECT conv_id, turn, {WORDS('reading')} AS m, {WORDS('own')} AS w, list_sort([{_LETTERS('reading')}])[-1] AS ms, list_sort([{_LETTERS('own')}])[-1] AS ws FROM pr),
+ bk AS (SELECT *, len(list_filter(m, lambda x: list_contains(w, x))) AS backed FROM wd),
+ vd AS (SELECT conv_id, turn, len(m) AS model_words, len(w) AS witness_words, backed, CASE WHEN len(m) > 0 THEN backed / len(m) ELSE 0 END AS support,
+   CASE WHEN len(m) = 0 OR len(w) < 40 THEN 'unchecked' WHEN ms.n > 0 AND ws.n > 0 AND ms.s <> ws.s THEN 'unverified' WHEN backed / len(m) >= 0.55 THEN 'corroborated' ELSE 'low support' END AS state FROM bk)"""
+
+
+@query(f"WITH {VERDICT} SELECT * FROM vd")
+def corroboration(spark, sf_dir):
+    return R.corroborated(pairs(spark, sf_dir), ["conv_id", "turn"], "reading", "own")
+
+
+@query(f"""WITH {VERDICT} SELECT conv_id, count(*) AS pages_checked, count(*) FILTER (state = 'unchecked') AS unchecked, count(*) FILTER (state = 'unverified') AS unverified,
+  count(*) FILTER (state = 'corroborated') AS corroborated, count(*) FILTER (state = 'low support') AS low_support FROM vd GROUP BY conv_id""")
+def corroboration_pivot(spark, sf_dir):
+    return R.corroboration_summary(R.corroborated(pairs(spark, sf_dir), ["conv_id", "turn"], "reading", "own"), "conv_id")
+
+
+COUNT = lambda c: f"len(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}]{{2,}}'))"
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, {COUNT('reading')} AS own_words, {COUNT('own')} AS model_words, {COUNT('reading')} >= 100 AND {COUNT('reading')} >= 2 * greatest(1, {COUNT('own')}) AS partial FROM pr")
+def partial_readings(spark, sf_dir):
+    swapped = pairs(spark, sf_dir).select("conv_id", "turn", F.col("reading").alias("own"), F.col("own").alias("text"))
+    return R.partial(swapped).select("conv_id", "turn", "own_words", "model_words", "partial")
+
+
+@query(f"WITH {PAIRS} SELECT u.conv_id, u.turn, CASE WHEN length(trim(u.text)) < 60 AND p.reading IS NOT NULL THEN p.reading ELSE u.text END AS text, length(trim(u.text)) < 60 AND p.reading IS NOT NULL AS taken FROM conversations u LEFT JOIN pr p ON p.conv_id = u.conv_id AND p.turn = u.turn WHERE u.role = 'user'")
+def reader_fallback(spark, sf_dir):
+    base = A.read(spark, sf_dir, "conversations").filter("role = 'user'")
+    other = pairs(spark, sf_dir).select("conv_id", "turn", F.col("reading").alias("text"))
+    return R.fallback(base, other, ["conv_id", "turn"], least=60)
+
+
+@query(rf"""WITH {PAIRS}, c AS (SELECT *, length(regexp_replace(reading, '[|\s\p{{Z}}]', '', 'g')) / (200.0::DOUBLE * 24.0 / 8.0) AS load FROM pr) SELECT conv_id, turn, load FROM c WHERE load > 1""")
+def implausible_readings(spark, sf_dir):
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", F.col("reading").alias("text"), F.lit(200.0).alias("width"), F.lit(24.0).alias("height"))
+    return R.implausible(rows).select("conv_id", "turn", "load")
+
+
+@query(rf"""WITH {PAIRS}, r AS (SELECT *, length(regexp_replace(reading, '[|\s\p{{Z}}]', '', 'g')) / (468.0::DOUBLE * 648.0 / 8.0) AS load, {COUNT('own')} AS ow, {COUNT('reading')} AS mw, turn % 3 = 0 AS hard FROM pr)
+ SELECT conv_id, turn, CASE WHEN load > 1 OR (ow >= 100 AND ow >= 2 * greatest(1, mw)) THEN 'own' WHEN hard THEN 'deep' ELSE 'ordinary' END AS reader FROM r""")
+def routed_readings(spark, sf_dir):
+    rows = pairs(spark, sf_dir).select(
+        "conv_id", "turn", F.lit("ocr").alias("kind"), F.lit(True).alias("has_text"), F.when(F.col("turn") % 3 == 0, 0.3).otherwise(0.9).alias("wordlike_share"), F.lit(False).alias("ocr_empty"),
+        F.col("reading").alias("deep"), F.col("reading").alias("ordinary"), "own", F.lit(468.0).alias("width"), F.lit(648.0).alias("height"))
+    return R.routed(rows).select("conv_id", "turn", "reader")
+
+
+@query(rf"""WITH {PAIRS}, c AS (SELECT conv_id, turn, lower(unnest(regexp_extract_all(lower(own), '\b[0-9][0-9,]*(?:\.[0-9]+)?\b|\b(?:not|no|never|none|nor|only|under|over|limit)\b'))) AS word, 1 AS n FROM pr
+ UNION ALL SELECT conv_id, turn, lower(unnest(regexp_extract_all(lower(reading), '\b[0-9][0-9,]*(?:\.[0-9]+)?\b|\b(?:not|no|never|none|nor|only|under|over|limit)\b'))), -1 FROM pr)
+ SELECT conv_id, turn, regexp_replace(word, '[\s,]', '', 'g') AS word, CAST(abs(sum(n)) AS BIGINT) AS n FROM c GROUP BY conv_id, turn, regexp_replace(word, '[\s,]', '', 'g') HAVING sum(n) <> 0""")
+def critical_words_diff(spark, sf_dir):
+    return B.critical_difference(pairs(spark, sf_dir), ["conv_id", "turn"], "own", "reading")
+
+
+EDGE = """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')"""
+
+
+@query(rf"""{EDGE}, f AS (SELECT doc_id, ls[1] AS head FROM l WHERE trim(ls[1]) <> '')
+ SELECT doc_id, CASE WHEN length(regexp_replace(head, '[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]', '', 'g')) >= 3 AND length(regexp_replace(head, '[^\p{{Ll}}\p{{Lt}}]', '', 'g')) = 0 AND len(regexp_extract_all(head, '[^ \t\r\n]+')) <= 8
+   OR regexp_matches(trim(head), '^[\s\-–—.·|]*(?:[0-9]{{1,4}}|[ivxlcIVXLC]{{1,7}})[\s\-–—.·|]*$') THEN 1 ELSE 0 END AS dropped FROM f""")
+def running_heads_stripped(spark, sf_dir):
+    lines = F.split("text", "\n")
+    rows = A.read(spark, sf_dir, "documents").filter("text <> ''").filter(F.trim(F.get(lines, 0)) != "")
+    rows = rows.select("doc_id", "text", F.array(F.get(lines, 0)).alias("top"), F.array().cast("array<string>").alias("bottom"))
+    return R.without_running_heads(rows).select("doc_id", F.size("dropped").alias("dropped"))
+
+
+@query()
+def spliced_bands(spark, sf_dir):
+    lines = F.split("text", "\n")
+    half = F.ceil(F.size(lines) * 0.6).cast("int")
+    upper, lower = F.array_join(F.slice(lines, F.lit(1), half), "\n"), F.array_join(F.slice(lines, F.size(lines) - half + 1, half), "\n")
+    rows = A.read(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return rows.select("doc_id", R.spliced(F.array(upper, lower)).alias("text"))
+
+
+@query("WITH j AS (SELECT doc_id, lang, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE text END AS text FROM j")
+def layout_json_text(spark, sf_dir):
+    category = F.when(F.col("lang") == "en", "header").otherwise("text")
+    rows = A.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.to_json(F.array(F.struct(category.alias("category"), F.col("text")))).alias("raw"))
+    return rows.select("doc_id", R.layout_text(F.col("raw")).alias("text"))
+
+
+QUERIES, ORACLES = query.queries, query.oracles

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwright.operators.ranks import numbered
+
 BAND = 0.12
 
 
@@ -15,8 +16,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(documents: DataFrame) -> DataFrame:
     """file, page, doc_id, text: a source is a file and its documents, by id, are its pages."""
-    order = W.partitionBy("source").orderBy("doc_id")
-    return documents.select(F.col("source").alias("file"), F.row_number().over(order).cast("long").alias("page"), "doc_id", "text")
+    return numbered(documents.select(F.col("source").alias("file"), "doc_id", "text"), "file", "doc_id", "page").select("file", "page", "doc_id", "text")
 
 
 def lines(paged: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def boxes(lineitem: DataFrame) -> DataFrame:
     """page, box, x0, y0, x1, y1: order lines as boxes of a page, in numbers that are exact in binary."""
     q = F.col("l_quantity")
     return lineitem.select(
-        F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("box"),
+        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 1_000_003 + F.col("l_partkey")).alias("box"),
         q.alias("x0"), (F.col("l_linenumber") * 4.0).alias("y0"),
         (q + F.col("l_suppkey") % 16 + 1.0).alias("x1"), (F.col("l_linenumber") * 4.0 + F.col("l_partkey") % 8 + 1.0).alias("y1"),
     )
@@ -66,7 +66,7 @@ WITH pg AS (
 )"""
 BOX_SQL = """
 WITH bx AS (
-  SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS box, l_quantity AS x0, l_linenumber * 4.0::DOUBLE AS y0,
+  SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) * 1000003 + l_partkey AS box, l_quantity AS x0, l_linenumber * 4.0::DOUBLE AS y0,
          l_quantity + l_suppkey % 16 + 1 AS x1, l_linenumber * 4.0::DOUBLE + l_partkey % 8 + 1 AS y1 FROM lineitem
 )"""
 HTML_SQL = r"""
