@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import StructType
 
 BUCKETS = 1 << 15
 INDEPENDENT = 60  # trigrams that count in full; of longer texts the mean counts so often
@@ -60,98 +60,98 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
 
     labelled = df.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(label_col).cast("string")).alias("label")).filter("text <> '' AND label <> ''")
     counts = labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()  # one row a language, of at most BUCKETS
+
+    def column(group: pa.Table) -> pa.Table:
+        out = np.zeros(BUCKETS, "<i8")
+        out[group.column("bucket").to_numpy()] = group.column("n").to_numpy()
+        return pa.table({"label": group.column("label")[:1], "c": pa.array([out.tobytes()], pa.binary())})
+
+    rows = counts.groupBy("label").applyInArrow(column, "label string, c binary").collect()  # one row a language, of 8 * BUCKETS bytes
     languages = sorted(r["label"] for r in rows)
     table = np.full((BUCKETS, len(languages)), 0.5)
     for r in rows:
-        at = languages.index(r["label"])
-        for bucket, n in r["c"]:
-            table[bucket, at] += n
+        table[:, languages.index(r["label"])] += np.frombuffer(r["c"], "<i8")
     return Model(languages, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32) if languages else table)
 
 
-def _likelihoods(df: DataFrame, model: Model) -> DataFrame:
-    """df, whose second column is text, with the array column ll in front of all others."""
-    schema = StructType([StructField("ll", ArrayType(DoubleType())), *df.schema.fields])
+def _soft(scores: np.ndarray) -> np.ndarray:
+    """Shares of each row in proportion to the exponentials."""
+    parts = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return parts / parts.sum(axis=1, keepdims=True)
 
-    def run(batches):
-        for batch in batches:
-            values = [model.likelihood(t or "") for t in batch.column(1).to_pylist()]
-            flat = pa.array(np.concatenate(values) if values else [], pa.float64())
-            offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(model.languages))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat), *batch.columns], names=["ll", *batch.schema.names])
 
-    return df.mapInArrow(run, schema)
+def _likelihoods(values: list[str | None], model: Model) -> np.ndarray:
+    return np.array([model.likelihood(t or "") for t in values]).reshape(-1, len(model.languages))
+
 
+def posterior(ll: np.ndarray, counts: dict[str, np.ndarray], whole: np.ndarray, kinds: dict[str, int]) -> np.ndarray:
+    """Posteriors of rows with log likelihoods ll, whose soft counts at each level are `counts`: rows of nan say nothing.
 
-def _soft(scores: list[Column]) -> list[Column]:
-    """Shares in proportion to the exponentials."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - top) for s in scores]
-    whole = sum(parts[1:], parts[0])
-    return [p / whole for p in parts]
+    A row's own share is taken out of the counts first. The prior is smoothed from the whole over suffix
+    and domain to the host; what is declared and the suffix are likelihoods besides.
+    """
+    n, p = ll.shape[1], _soft(ll)
+    total = whole.sum()
+    silent = {key: np.isnan(c).any(axis=1, keepdims=True) for key, c in counts.items()}
+    less = {key: np.where(silent[key], 0.0, np.maximum(c - p, 0.0)) for key, c in counts.items()}
+    prior = (whole - p + 1.0 / n) / (total - 1 + 1.0) if total > 0 else np.full_like(ll, 1.0 / n)
+    prior = np.maximum(prior, 1e-9)
+    for key in ("suffix", "domain", "host"):
+        prior = (less[key] + PRIOR_ROWS * prior) / (less[key].sum(axis=1, keepdims=True) + PRIOR_ROWS)
+    score = ll + np.log(prior)
+    for key in ("declared", "suffix"):
+        chance = (less[key] + EVIDENCE_ROWS / max(1, kinds[key])) / (np.maximum(whole - p, 0.0) + EVIDENCE_ROWS)
+        score += np.where(silent[key], 0.0, np.log(chance))
+    return _soft(score)
 
 
-def _sums(n: int, prefix: str) -> list[Column]:
-    return [F.sum(f"p{i}").alias(f"{prefix}{i}") for i in range(n)]
+LEVELS = ("declared", "suffix", "domain", "host")
 
 
 def fuse(df: DataFrame, model: Model) -> DataFrame:
     """df's columns k (any), text, declared, host, domain, suffix and any others, with lang, confidence, text_lang and keep.
 
-    A row's own share is taken out of the counts before they inform it. Null evidence says nothing.
-    A row is kept if its text has a letter and the posterior of its best language is at least LEAST;
-    ties go to the language first in the alphabet. A model of no languages keeps rows with letters and names none.
+    Null evidence says nothing. A row is kept if its text has a letter and the posterior of its best
+    language is at least LEAST; ties go to the language first in the alphabet. A model of no languages
+    keeps rows with letters and names none.
     """
     n = len(model.languages)
     letters = F.coalesce(F.col("text").rlike(_LETTER), F.lit(False))
     if not n:
         return df.select("*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), letters.alias("keep"))
-    names = F.array(*[F.lit(x) for x in model.languages])
-    own = ["k", "text", "declared", "host", "domain", "suffix"]
-    ll = [F.col("ll")[i] for i in range(n)]
-    narrow = _likelihoods(df.select(F.lit(0).alias("k"), "text", "declared", "host", "domain", "suffix"), model)
-    soft = narrow.select("declared", "host", "domain", "suffix", *[p.alias(f"p{i}") for i, p in enumerate(_soft(ll))])
-    by = soft.groupBy("declared", "host", "domain", "suffix").agg(F.count("*").alias("rows"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(n)])
     from ._arrow import cut
 
-    by = cut(by)  # a row for each host and what it declares: what all the tables are made of
-    whole = by.agg(*_sums(n, "g")).first()
-    everything = [(whole[f"g{i}"] or 0.0) for i in range(n)]
-    total = sum(everything)
-    tables = {key: by.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(*_sums(n, f"{key}_")) for key in ("declared", "suffix", "domain", "host")}
-    kinds = {key: counts.count() for key, counts in tables.items()}
-
-    out = _likelihoods(df, model)
-    p = [f"p{i}" for i in range(n)]
-    out = out.select("*", *[x.alias(name) for x, name in zip(_soft(ll), p)])
-    for key, counts in tables.items():
+    def soften(batches):
+        for batch in batches:
+            p = _soft(_likelihoods(batch.column(0).to_pylist(), model))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(p[:, i]) for i in range(n)]], names=[*LEVELS, *[f"p{i}" for i in range(n)]])
+
+    sums = lambda: [F.sum(f"p{i}").alias(f"p{i}") for i in range(n)]
+    soft = df.select("text", *LEVELS).mapInArrow(soften, ", ".join([*[f"{key} string" for key in LEVELS], *[f"p{i} double" for i in range(n)]]))
+    by = cut(soft.groupBy(*LEVELS).agg(*sums()))  # a row for each host and what it declares: what all the tables are made of
+    whole = np.array([x or 0.0 for x in by.agg(*sums()).first()])
+    out, kinds = df.withColumn("letters", letters), {}
+    for key in LEVELS:
+        counts = by.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(*sums()).select(f"{key}_key", F.array(*[f"p{i}" for i in range(n)]).alias(f"{key}_n"))
+        kinds[key] = counts.count()
         # a table this small may go to every executor; a larger one meets the rows by a shuffle, whose hot keys are split at run time
         out = out.join(F.broadcast(counts) if kinds[key] <= BROADCAST_ROWS else counts, F.col(key) == F.col(f"{key}_key"), "left")
-    less = lambda key, i: F.greatest(F.coalesce(F.col(f"{key}_{i}"), F.lit(0.0)) - F.when(F.col(key).isNull(), 0.0).otherwise(F.col(p[i])), F.lit(0.0))
-    prior = [(F.lit(everything[i]) - F.col(p[i]) + 1.0 / n) / (total - 1 + 1.0) if total > 0 else F.lit(1.0 / n) for i in range(n)]
-    prior = [F.greatest(x, F.lit(1e-9)) for x in prior]
-    for level, key in enumerate(("suffix", "domain", "host")):
-        counts = [less(key, i) for i in range(n)]
-        seen = sum(counts[1:], counts[0])
-        prior = [(counts[i] + PRIOR_ROWS * prior[i]) / (seen + PRIOR_ROWS) for i in range(n)]
-        out = out.select("*", *[x.alias(f"prior{level}_{i}") for i, x in enumerate(prior)])
-        prior = [F.col(f"prior{level}_{i}") for i in range(n)]
-    score = []
-    for i in range(n):
-        s = F.col("ll")[i] + F.log(prior[i])
-        for key in ("declared", "suffix"):
-            chance = (less(key, i) + EVIDENCE_ROWS / max(1, kinds[key])) / (F.greatest(F.lit(everything[i]) - F.col(p[i]), F.lit(0.0)) + EVIDENCE_ROWS)
-            s = s + F.when(F.col(f"{key}_key").isNull(), 0.0).otherwise(F.log(chance))
-        score.append(s.alias(f"score{i}"))
-    out = out.select("*", *score)
-    posterior = F.array(*_soft([F.col(f"score{i}") for i in range(n)]))
-    best = F.array(*[F.col(f"p{i}") for i in range(n)])
-    out = out.select("*", posterior.alias("posterior"), best.alias("text_posterior"))
-    confidence = F.array_max("posterior")
-    lang = F.get(names, (F.array_position("posterior", confidence) - 1).cast("int"))
-    text_lang = F.get(names, (F.array_position("text_posterior", F.array_max("text_posterior")) - 1).cast("int"))
-    return out.select(*df.columns, lang.alias("lang"), confidence.alias("confidence"), text_lang.alias("text_lang"), (letters & (confidence >= LEAST)).alias("keep"))
+    out = out.select(*df.columns, "letters", *[f"{key}_n" for key in LEVELS])
+    names = np.array(model.languages, object)
+    width, told = len(df.columns), [*df.columns, "lang", "confidence", "text_lang", "keep"]
+
+    def judge(batches):
+        for batch in batches:
+            ll = _likelihoods(batch.column(1).to_pylist(), model)
+            counts = {key: np.array([[np.nan] * n if c is None else c for c in batch.column(width + 1 + i).to_pylist()], float).reshape(-1, n) for i, key in enumerate(LEVELS)}
+            found = posterior(ll, counts, whole, kinds) if len(ll) else ll
+            best, own = (x.argmax(axis=1) if len(ll) else np.zeros(0, int) for x in (found, ll))
+            sure = found.max(axis=1) if len(ll) else np.zeros(0)
+            keep = batch.column(width).to_numpy(zero_copy_only=False).astype(bool) & (sure >= LEAST)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(names[best], pa.string()), pa.array(sure), pa.array(names[own], pa.string()), pa.array(keep)], names=told)
+
+    extra = StructType.fromDDL("lang string, confidence double, text_lang string, keep boolean")
+    return out.mapInArrow(judge, StructType([*df.schema.fields, *extra.fields]))
 
 
 def from_documents(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
