@@ -400,7 +400,7 @@ def sha_mod5(name: Column) -> Column:
 
 def formula_ampersands(span: Column) -> Column:
     """Bare & of a formula escaped, unless it opens an environment."""
-    return F.when(F.contains(span, F.lit("\\begin{")), span).otherwise(F.regexp_replace(span, r"(?<!\\)&", r"\\\\&"))
+    return F.when(F.contains(span, F.lit("\\begin{")), span).otherwise(F.regexp_replace(span, r"(?<!\\)&", r"\\&"))
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality, render, structure
+from .cuts import cut
 from .running import beside
 
 
@@ -63,30 +64,30 @@ def convert(lines: DataFrame, options: Options = Options()) -> DataFrame:
     too, kinds, levels, order, parts, body. Stages that were asked for and cannot run are issues, never silent.
     """
     keys = ["file", "page"]
-    lines = selected(lines, options.pages)
+    lines = selected(lines, options.pages)  # what follows is built on cuts in the checkpoint folder, so no stage is planned or run twice
     pages = lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n").alias("text"), F.max("page_height").alias("page_height"))
-    judged = quality.assessed(pages).select(*keys, "kind", "script_kind", "usable", "page_height").withColumnRenamed("kind", "page_kind")
-    body = quality.body_size(lines, *keys).withColumnRenamed("body_size", "body_size")
-    blocks = structure.simple_blocks(lines, keys)
+    judged = cut(quality.assessed(pages).select(*keys, "kind", "script_kind", "usable", "page_height").withColumnRenamed("kind", "page_kind"))
+    body = quality.body_size(lines, *keys)
+    blocks = cut(structure.simple_blocks(lines, keys))
     folded = blocks.withColumn("_k", F.lower(F.col("text"))).withColumn("band", F.when(F.col("y0") < 200, "head").otherwise("foot"))
     known = beside(folded.select("file", "page", "band", "_k"), ["file", "band", "_k"], 2)
-    size = lines.groupBy("file").agg(F.count_distinct("page").alias("n_pages"))
+    size = judged.groupBy("file").agg(F.count("*").alias("n_pages"))
     blocks = folded.join(known, ["file", "band", "_k", "page"], "left").join(size, "file").withColumn("runs", F.when(F.col("n_pages") > 1, F.coalesce("repeated", F.lit(False))))
-    blocks = structure.kinds(blocks.join(judged.select(*keys, "page_height"), keys).join(body, keys, "left").withColumn("body_size", F.coalesce("body_size", F.lit(10.0))))
+    blocks = cut(structure.kinds(blocks.join(judged.select(*keys, "page_height"), keys).join(body, keys, "left").withColumn("body_size", F.coalesce("body_size", F.lit(10.0)))))
     decisions = (
         blocks.filter(F.col("kind").isin(*structure.FURNITURE))
         .withColumn("kept_in", F.when(F.col("kind") == "page_number", None).when(F.col("runs"), "running").otherwise("imprint"))
         .groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page", "block", F.col("kind").alias("role"), "text", "kept_in", F.col("runs").isNotNull().alias("checked")))).alias("decisions"))
     )
-    ordered = structure.reading_order(blocks.select(*keys, "block", "kind", "text", "n_lines", "size", "body_size", "x0", "y0", "x1", "y1"), keys)
+    ordered = cut(structure.reading_order(blocks.select(*keys, "block", "kind", "text", "n_lines", "size", "body_size", "x0", "y0", "x1", "y1"), keys))
     heads = structure.heading_levels(ordered, keys).select(*keys, "block", "level")
     items = structure.list_levels(ordered, keys).select(*keys, "block", "level")
     ordered = ordered.join(heads.union(items), [*keys, "block"], "left")
-    parts = render.parts(ordered, ["file"])
+    parts = cut(render.parts(ordered, ["file"]))
     bodies = render.documents(parts, ["file"])
     lost = judged.filter("NOT usable").groupBy("file").agg(F.sort_array(F.collect_list("page")).alias("pages"))
     issues = lost.select("file", F.lit("unreadable-pages").alias("code"), F.lit("incomplete").alias("severity"), "pages", F.concat(F.lit("pages without readable text: "), F.array_join(F.transform("pages", lambda p: p.cast("string")), ", ")).alias("message"))
-    files = lines.select("file").distinct()
+    files = judged.select("file").distinct()
     for stage, wanted in (("layout", options.layout), ("vision", options.vision)):
         if wanted:
             issues = issues.unionByName(files.select("file", F.lit("stage-unavailable").alias("code"), F.lit("degraded").alias("severity"), F.array().cast("array<bigint>").alias("pages"), F.lit(f"the {stage} stage was asked for and no reader for it is registered").alias("message")))
@@ -95,7 +96,7 @@ def convert(lines: DataFrame, options: Options = Options()) -> DataFrame:
     ended = quality.completion(issues, "file").select("file", "completion")
     told = issues.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("code", "severity", "pages", "message"))).alias("issues"))
     trust = quality.confidence(judged.withColumnRenamed("page_kind", "kind"), "file")
-    counted = lines.groupBy("file").agg(F.count_distinct("page").alias("pages"))
+    counted = size.withColumnRenamed("n_pages", "pages")
     out = files.join(bodies, "file", "left").join(ended, "file", "left").join(told, "file", "left").join(trust, "file", "left").join(counted, "file", "left").join(decisions, "file", "left")
     out = out.withColumn("body", F.coalesce("body", F.lit(""))).withColumn("completion", F.coalesce("completion", F.lit("complete"))).withColumn("resource", F.col("file"))
     out = render.front_matter(out, ["file"])
