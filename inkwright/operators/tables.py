@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from inkwright.functions import text as T
 
+from .pagewise import pagewise
+
 # ---- grids as rows ---------------------------------------------------------------------------
 
 
@@ -423,22 +425,21 @@ CELLS = "table_no int, row int, col int, text string, lines array<long>"
 
 
 def aligned_tables(lines: DataFrame, keys: list[str], size: float = 10.0) -> DataFrame:
-    """keys, table_no, row, col, text, lines: the tables of white space on each page of lines (line, text, box); one group a page.
+    """keys, table_no, row, col, text, lines: the tables of white space on each page of lines (line, text, box).
 
     Whatever lines a table takes, their words are its cells' words: a table that loses one is dropped.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.to_dict("records")
+    def run(own: list[dict]) -> list[dict]:
+        own.sort(key=lambda r: (r["y0"], r["x0"], r["line"]))
         said = {r["line"]: r["text"] for r in own}
         rows = []
         for n, cells in enumerate(aligned(own, size)):
             if sorted(w for c in cells for w in c["text"].split()) == sorted(w for c in cells for i in c["lines"] for w in said[i].split()):
-                rows += [(*key, n, c["row"], c["col"], c["text"], c["lines"]) for c in cells]
-        return pd.DataFrame(rows, columns=[*keys, *[x.split()[0] for x in CELLS.split(", ")]])
+                rows += [c | {"table_no": n} for c in cells]
+        return rows
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*keys).schema)
-    return lines.select(*keys, F.col("line").cast("long").alias("line"), "text", "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(run, f"{kept}, {CELLS}")
+    return pagewise(lines.select(*keys, F.col("line").cast("long").alias("line"), "text", "x0", "y0", "x1", "y1"), keys, run, CELLS, keep=False)
 
 
 def edges(drawings: DataFrame, thick: float = 3.0, least: float = 2.0) -> DataFrame:
