@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from inkwright.functions import text as T
 from inkwright.functions.arrow import arrow
 
+from .cuts import cut
+
 PAIR = 0.5  # likeness from which two pages can be one
 REACH = 2  # pages by which a page of the new issue may have moved
 
@@ -66,10 +68,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def classes(paged: DataFrame) -> DataFrame:
-    """paged (file, page, text) with g, its set of word pairs, and cls, 128 bits that name the set: pages of equal sets are one class."""
+    """paged (file, page, text) with g, its set of word pairs, and cls, 128 bits that name the set: pages of equal sets are one class. Written once, as all that compares issues reads it."""
     out = paged.withColumn("g", T.bigrams(T.words(F.coalesce("text", F.lit("")))))
     joined = F.array_join("g", "\n")
-    return out.withColumn("cls", F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b")))
+    return cut(out.withColumn("cls", F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b"))))
 
 
 def likeness(old: DataFrame, new: DataFrame, least: float = PAIR) -> DataFrame:
@@ -80,7 +82,7 @@ def likeness(old: DataFrame, new: DataFrame, least: float = PAIR) -> DataFrame:
     without words is alike to another such page.
     """
     side = lambda df, new_side: df.groupBy("file", "cls").agg(F.first("g").alias("g"), F.min("page").alias("page")).withColumn("new", F.lit(new_side))
-    both = side(old, False).union(side(new, True))
+    both = cut(side(old, False).union(side(new, True)))
     grams = both.select("file", "cls", "new", F.explode(F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.lit("")))).alias("gram"))
     often = grams.groupBy("file", "gram").agg(F.count("*").alias("n"))
     ranked = grams.join(often, ["file", "gram"]).groupBy("file", "cls", "new").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("r"))
