@@ -145,8 +145,12 @@ def check_rows(df, rows):
     pieces = defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
+    texts_of = defaultdict(list)
+    for x in df.select("doc_id", "text").collect():
+        texts_of[x.doc_id].append(x.text)
+    assert pieces.keys() == texts_of.keys()
     for doc_id, own in pieces.items():
-        texts = [x.text for x in df.filter(df.doc_id.eqNullSafe(doc_id)).collect()]
+        texts = texts_of[doc_id]
         want = []
         for text in texts:
             ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
