@@ -1,11 +1,12 @@
-"""Stupid-backoff scores of every document under the n-gram counts of the whole corpus.
+"""Stupid-backoff scores of every document under the n-gram counts of all other documents.
 
 Relationally: explode the documents into n-grams, count them in tables partitioned by hash, join the
-counts to the exploded n-grams, and sum per document. The rows of these relations travel packed:
-a run of documents sends, for each order and hash range, its distinct n-gram keys as one sorted, delta-coded
-array with their counts, so that repeated n-grams, however frequent, are one entry a run. A hash range
-adds the arrays up and answers each with the totals in the order in which it was asked. The run's
-documents meet those answers under the run's content hash, are exploded once more and summed.
+counts to the exploded n-grams by key, and sum per document. The rows of these relations travel packed.
+Runs of documents are tokenised once and written, under a number of their own, to the checkpoint
+folder; whatever is read later is read from there. A run sends, for each order and hash range, its
+distinct n-gram keys as one sorted, delta-coded array with their counts, so that repeated n-grams,
+however frequent, are one entry a run. A hash range adds the arrays up and sends each run the totals of its
+keys. The number of ranges follows the number of words, so no range grows with the corpus.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,11 @@ from ._arrow import chunks, cut, texts
 
 ORDER = 3
 ALPHA = 0.4
-LEAST = 2  # occurrences of an n-gram of two words or more that the table keeps
+LEAST = 1  # occurrences of an n-gram of two words and more in other documents that let it answer
 RUN_BYTES = 10 << 20
+RANGE_KEYS = 1 << 20  # n-grams of one order to add up in one range, at most and on average
+KEY_BITS = 56
+RAW = 64  # bytes up to which nothing is compressed
 _ZSTD = None
 
 
@@ -37,16 +42,16 @@ def squeeze(values: np.ndarray) -> bytes:
     """Whole numbers as byte planes, the empty ones left out, compressed."""
     wide = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
-    return len(values).to_bytes(8, "little") + bytes([wide]) + _codec().compress(planes, asbytes=True)
+    return len(values).to_bytes(8, "little") + bytes([wide]) + (planes if len(planes) <= RAW else _codec().compress(planes, asbytes=True))
 
 
 def expand(blob: bytes) -> np.ndarray:
     """What squeeze has packed."""
     n, wide = int.from_bytes(blob[:8], "little"), blob[8]
-    planes = np.frombuffer(_codec().decompress(blob[9:], n * wide, asbytes=True), np.uint8).reshape(wide, n) if n else np.zeros((wide, 0), np.uint8)
+    planes = blob[9:] if n * wide <= RAW else _codec().decompress(blob[9:], n * wide, asbytes=True)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :wide] = planes.T
-    return out.reshape(-1).view("<u8") if n else np.zeros(0, np.uint64)
+    out[:, :wide] = np.frombuffer(planes, np.uint8).reshape(wide, n).T
+    return out.reshape(-1).view("<u8")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,11 +71,8 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def exploded(values: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(document of each word, its place there, for n = 1 to order the key of the n-gram that ends at it).
-
-    Keys are 64-bit hashes; those that would reach over a document's start are not to be used.
-    """
+def tokenised(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, number of each word within the run, hash of each distinct word)."""
     import xxhash
 
     ids, sizes, seen = [], [], _Ids()
@@ -78,29 +80,25 @@ def exploded(values: list[str], order: int) -> tuple[np.ndarray, np.ndarray, lis
         own = words(text)
         sizes.append(len(own))
         ids += [seen[w] for w in own]
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-    word = hashed[np.array(ids, np.int64)] if ids else np.zeros(0, np.uint64)
-    sizes_ = np.array(sizes, np.int64)
-    doc = np.repeat(np.arange(len(values)), sizes_)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes_) - sizes_, sizes_)
+    return np.array(sizes, np.uint64), np.array(ids, np.uint64), np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
+
+
+def exploded(sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(document of each word, its place there, for n = 1 to order the key of the n-gram that ends at it).
+
+    Keys are hashes of 56 bits; those that would reach over a document's start are not to be used.
+    """
+    sizes = sizes.astype(np.int64)
+    word = hashes[ids.astype(np.int64)] if len(ids) else np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     keys, last = [word], word
     for n in range(2, order + 1):
         before = np.zeros(len(word), np.uint64)
         before[1:] = last[:-1]
         last = _mix(before * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n))
         keys.append(last)
-    return doc, place, keys
-
-
-def run_id(ids: list, values: list[str]) -> int:
-    """A signed 64-bit hash of a run's ids and texts, which names the run in either scan."""
-    import xxhash
-
-    h = xxhash.xxh64(repr(ids).encode())
-    for text in values:
-        h.update(len(text).to_bytes(8, "little"))
-        h.update(text.encode())
-    return int(np.uint64(h.intdigest()).view(np.int64))
+    return doc, place, [k >> np.uint64(64 - KEY_BITS) for k in keys]
 
 
 def _runs(batches, run_bytes: int):
@@ -121,7 +119,10 @@ def _runs(batches, run_bytes: int):
 
 
 def score_parts(counts: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_docs: int, least: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, sum of logs but for the corpus size, words that fell back to it) of each document."""
+    """(words, sum of logs but for the corpus size, words that fell back to it) of each document.
+
+    counts[n - 1] holds, for each word, how often the n-gram that ends at it occurs in other documents.
+    """
     order = len(counts)
     total = np.zeros(len(doc))
     level = np.zeros(len(doc), np.int64)  # the order that answers; zero: none yet
@@ -129,7 +130,7 @@ def score_parts(counts: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_
         found = (level == 0) & (place >= n - 1) & ((counts[n - 1] >= least) | (n == 1))
         level[found] = n
         at = np.flatnonzero(found)
-        total[at] = np.log(counts[n - 1][at])
+        total[at] = np.log(np.maximum(counts[n - 1][at], 1))
         if n > 1:
             total[at] -= np.log(counts[n - 2][at - 1])
     total += math.log(alpha) * (np.minimum(place + 1, order) - level)
@@ -137,86 +138,83 @@ def score_parts(counts: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_
     return np.bincount(doc, minlength=n_docs), sums(total), sums((level == 1).astype(float)).astype(np.int64)
 
 
-def score(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, run_bytes: int = RUN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, run_bytes: int = RUN_BYTES, range_keys: int = RANGE_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, score: the mean natural log of each word's stupid-backoff score, to six decimals.
 
-    Of the n-grams up to `order` that end at a word within its document the longest that occurs at
-    least `least` times in the corpus answers, with its count over its context's; each order that is
-    skipped costs a factor `alpha`; single words are over the corpus size. A document without words has a null score.
-    Null text is empty; null ids and repeated rows give rows of their own; other columns are
-    ignored; an empty table gives none. The rows must come in the same order when read again, as from
-    files or a checkpoint; if they do not, the query fails and never guesses.
+    Counts are of the whole corpus less the document's own. Of the n-grams up to `order` that end at a
+    word within its document the longest that occurs at least `least` times (one or more) answers, with its count
+    over its context's; each order that is skipped costs a factor `alpha`; single words are over the words of all
+    other documents, and one that no other document has counts as once. A document without words has a null score.
+    Null text is empty; null ids and repeated rows give rows of their own, each against all others; other columns are
+    ignored; an empty table gives none. One very long text is a run of its own, in one worker's memory.
     """
-    rows = texts(df, id_col, text_col)
-    bits = max(3, math.ceil(math.log2(max(1, rows.rdd.getNumPartitions()))))
+
+    def write(batches):
+        for number, (ids, values) in enumerate(_runs(batches, run_bytes)):
+            run = (TaskContext.get().partitionId() << 32) + number
+            sizes, own, hashes = tokenised(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([run]), pa.array([ids], pa.list_(pa.int64())), pa.array([len(own)]), *(pa.array([squeeze(x)], pa.binary()) for x in (sizes, own)), pa.array([hashes.tobytes()], pa.binary())],
+                names=["run", "ids", "n_words", "sizes", "words", "hashes"],
+            )
+
+    runs = cut(texts(df, id_col, text_col).mapInArrow(write, "run long, ids array<long>, n_words long, sizes binary, words binary, hashes binary"))
+    corpus = runs.agg(F.sum("n_words")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, corpus) / range_keys)))
+    shift = np.uint64(KEY_BITS - bits)
+
+    def body(sizes: bytes, own: bytes, hashes: bytes):
+        return exploded(expand(sizes), expand(own), np.frombuffer(hashes, np.uint64), order)
 
     def ask(batches):
-        for ids, values in _runs(batches, run_bytes):
-            name = run_id(ids, values)
-            _, place, keys = exploded(values, order)
-            for n in range(1, order + 1):
-                own, times = np.unique(keys[n - 1][place >= n - 1], return_counts=True)
-                edges = np.searchsorted(own >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                for bucket, (a, b) in enumerate(zip(edges, edges[1:])):
-                    if b > a:
-                        delta = np.diff(own[a:b], prepend=np.uint64(0))
-                        delta[0] = own[a] & np.uint64((1 << (64 - bits)) - 1)
-                        yield pa.RecordBatch.from_arrays([pa.array([bucket * order + n - 1], pa.int32()), pa.array([name]), pa.array([squeeze(delta)], pa.binary()), pa.array([squeeze(times[a:b])], pa.binary())], names=["part", "run", "keys", "times"])
+        for batch in batches:
+            for run, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                _, place, keys = body(*parts)
+                for n in range(1, order + 1):
+                    own, times = np.unique(keys[n - 1][place >= n - 1], return_counts=True)
+                    ranges, starts = np.unique(own >> shift, return_index=True)
+                    deltas = np.diff(own, prepend=np.uint64(0))
+                    deltas[starts] = own[starts] - (ranges << shift)
+                    ends = [*starts[1:], len(own)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ranges.astype(np.int64) * order + (n - 1)), pa.array([run] * len(ranges), pa.int64()),
+                            pa.array([squeeze(deltas[a:b]) for a, b in zip(starts, ends)], pa.binary()), pa.array([squeeze(times[a:b]) for a, b in zip(starts, ends)], pa.binary()),
+                        ],
+                        names=["part", "run", "keys", "times"],
+                    )
 
     def answer(group: pa.Table) -> pa.Table:
-        parts, asked = group.column("part")[0].as_py(), group.column("run").to_pylist()
         keys = [np.cumsum(expand(k.as_py()), dtype=np.uint64) for k in group.column("keys")]
         times = np.concatenate([expand(t.as_py()) for t in group.column("times")])
-        sizes = [len(k) for k in keys]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(at, times).astype(np.uint64)[at]
-        blobs = [squeeze(x) for x in np.split(totals, np.cumsum(sizes)[:-1])]
-        return pa.table({"run": asked, "part": pa.array([parts] * len(asked), pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    def carry(batches):
-        for ids, values in _runs(batches, run_bytes):
-            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["doc_id", "text"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([run_id(ids, values)]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["run", "part", "blob"])
-
-    def settle(group: pa.Table) -> pa.Table:
-        answers: dict[int, list[tuple[int, bytes]]] = {n: [] for n in range(order)}
-        bodies, seen = [], set()
-        for part, blob in zip(group.column("part").to_pylist(), group.column("blob")):
-            if part < 0:
-                bodies.append(blob.as_py())
-            elif part not in seen:  # equal runs ask the same and are answered alike
-                seen.add(part)
-                answers[part % order].append((part // order, blob.as_py()))
-        out = []
-        for body in bodies:
-            table = pa.ipc.open_stream(body).read_all()
-            values = table.column("text").to_pylist()
-            doc, place, keys = exploded(values, order)
-            counts = []
-            for n in range(order):
-                asked = np.flatnonzero(place >= n)
-                own, at = np.unique(keys[n][asked], return_inverse=True)
-                totals = np.concatenate([np.zeros(0, np.uint64), *(expand(b) for _, b in sorted(answers[n]))])
-                if len(totals) != len(own):
-                    raise RuntimeError("the rows came in another order when read again; score a checkpoint of them")
-                full = np.zeros(len(place))
-                full[asked] = totals[at]
-                counts.append(full)
-            tokens, logs, single = score_parts(counts, doc, place, len(values), least, alpha)
-            out.append(pa.table({"doc_id": table.column("doc_id"), "n_tokens": tokens, "logs": logs, "single": single}))
-        if not out:
-            raise RuntimeError("the rows came in another order when read again; score a checkpoint of them")
-        return pa.concat_tables(out)
-
-    answers = rows.mapInArrow(ask, "part int, run long, keys binary, times binary").groupBy("part").applyInArrow(answer, "run long, part int, blob binary")
-    settled = answers.union(rows.mapInArrow(carry, "run long, part int, blob binary")).groupBy("run").applyInArrow(settle, "doc_id long, n_tokens long, logs double, single long")
-    own = cut(settled)
-    size = own.agg(F.sum("n_tokens")).first()[0] or 0
-    mean = (F.col("logs") - F.col("single") * math.log(max(1, size))) / F.col("n_tokens")
-    return own.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.round(mean, 6)).alias("score"))
+        blobs = [squeeze(x) for x in np.split(totals, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"run": group.column("run"), "part": group.column("part"), "blob": pa.array(blobs, pa.binary())})
+
+    def settle(answers: pa.Table, own: pa.Table) -> pa.Table:
+        parts, blobs = answers.column("part").to_pylist(), answers.column("blob")
+        doc, place, keys = body(*(own.column(c)[0].as_py() for c in ("sizes", "words", "hashes")))
+        ids = own.column("ids")[0].as_py()
+        counts = []
+        for n in range(order):
+            asked = np.flatnonzero(place >= n)
+            distinct, at = np.unique(keys[n][asked], return_inverse=True)
+            ordered = sorted((part, i) for i, part in enumerate(parts) if part % order == n)
+            totals = np.concatenate([np.zeros(0, np.uint64), *(expand(blobs[i].as_py()) for _, i in ordered)])
+            _, mine, times = np.unique(doc[asked] * max(1, len(distinct)) + at, return_inverse=True, return_counts=True)
+            full = np.zeros(len(place))
+            full[asked] = totals.astype(float)[at] - times[mine]
+            counts.append(full)
+        tokens, logs, single = score_parts(counts, doc, place, len(ids), least, alpha)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "logs": logs, "single": single})
+
+    asked = runs.select("run", "sizes", "words", "hashes").mapInArrow(ask, "part long, run long, keys binary, times binary")
+    answers = asked.groupBy("part").applyInArrow(answer, "run long, part long, blob binary")
+    settled = answers.groupBy("run").cogroup(runs.groupBy("run")).applyInArrow(settle, "doc_id long, n_tokens long, logs double, single long")
+    others = F.greatest(F.lit(1), F.lit(corpus) - F.col("n_tokens"))
+    mean = (F.col("logs") - F.col("single") * F.log(others)) / F.col("n_tokens")
+    return settled.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.round(mean, 6)).alias("score"))
 
 
 SQL = """
@@ -226,12 +224,19 @@ WITH t AS (
 ), g AS (
   SELECT doc_id, i, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), c AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS c1, count(*) OVER (PARTITION BY v, w) AS c2, count(*) OVER (PARTITION BY u, v, w) AS c3, count(*) OVER () AS n FROM g
+  SELECT doc_id, i,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+         count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+         count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS c3,
+         greatest(1, count(*) OVER () - count(*) OVER (PARTITION BY doc_id)) AS n
+  FROM g
+), p AS (
+  SELECT *, lag(c2) OVER d AS b2, lag(c1) OVER d AS b1 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), s AS (
-  SELECT doc_id, CASE WHEN i >= 3 AND c3 >= 2 THEN ln(c3) - ln(lag(c2) OVER d)
-                      WHEN i >= 2 AND c2 >= 2 THEN ln(c2) - ln(lag(c1) OVER d) + ln(0.4) * least(i - 2, 1)
-                      ELSE ln(c1) - ln(n) + ln(0.4) * least(i - 1, 2) END AS s
-  FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, CASE WHEN i >= 3 AND c3 >= 1 THEN ln(c3) - ln(b2)
+                      WHEN i >= 2 AND c2 >= 1 THEN ln(c2) - ln(b1) + ln(0.4) * least(i - 2, 1)
+                      ELSE ln(greatest(c1, 1)) - ln(n) + ln(0.4) * least(i - 1, 2) END AS s
+  FROM p
 ), m AS (SELECT doc_id, count(*) AS n_tokens, round(avg(s), 6) AS score FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(m.n_tokens, 0) AS n_tokens, m.score FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
 """
