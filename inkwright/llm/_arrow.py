@@ -56,9 +56,12 @@ def map_texts(df: DataFrame, fn: Callable[[list, list[str]], dict[str, list]], s
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the reliable checkpoint folder, so that a lost executor costs a reread and not a recomputation.
 
-    The cluster names the folder in spark.checkpoint.dir; a folder of our own is set only where none is, as in tests.
+    The cluster names the folder in spark.checkpoint.dir. Where none is set, a local session gets a
+    folder of its own and any other is refused, as its executors would not share one.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

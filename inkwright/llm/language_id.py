@@ -50,10 +50,11 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            found: dict[str, list[np.ndarray]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if label not in sums:
-                    sums[label] = np.zeros(BUCKETS, np.int64)
-                sums[label] += np.bincount(trigrams(text), minlength=BUCKETS)
+                found.setdefault(label, []).append(trigrams(text))
+            for label, parts in found.items():
+                sums[label] = sums.get(label, 0) + np.bincount(np.concatenate(parts), minlength=BUCKETS)
         for label, values in sums.items():
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(values[at])], names=["label", "bucket", "n"])

@@ -49,11 +49,24 @@ def covered(df: DataFrame) -> DataFrame:
     )
 
 
+def _without(text, gone):
+    """The text's lines but for the positions in the array `gone`: the stretches between them, one walk over both."""
+    both = F.array(F.struct(F.split(text, "\n").alias("lines"), F.array_sort(gone).alias("gone")))
+
+    def stretch(x, i):
+        start = F.coalesce(F.get(x["gone"], i - 1), F.lit(-1)) + 1
+        return F.slice(x["lines"], start + 1, F.coalesce(F.get(x["gone"], i), F.size(x["lines"])) - start)
+
+    kept = F.transform(both, lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["gone"])), lambda i: stretch(x, i))))
+    return F.array_join(F.get(kept, F.lit(0)), "\n")
+
+
 def dedup_lines(df: DataFrame) -> DataFrame:
-    """Every row with the lines of later window occurrences removed from `text`, and removed_lines.
+    """Every row with the lines of later window occurrences removed from `text`, and removed_lines as the last column.
 
-    All other columns stay as they are, whatever their names. Null text stays null and texts of
-    fewer than three lines never change. A text all of whose lines go becomes empty. Rows equal in
+    All other columns stay as they are, whatever their names; where one is called removed_lines already,
+    the new one is removed_lines_2, and so on. Null text stays null and texts of fewer than three lines never change. A
+    text all of whose lines go becomes empty; a very long text is one row like any other, walked once. Rows equal in
     doc_id and text count as one and all get the result of the first. Null ids sort last. An empty table gives an empty one.
     """
     mine = {c: f"c{i}" for i, c in enumerate(df.columns)}
@@ -62,10 +75,11 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     keyed = inner.withColumn("row", _row_key(doc_id, text))
     gone = covered(inner.select(doc_id.alias("doc_id"), text.alias("text"))).select(F.col("row").alias("gone_row"), "gone")
     joined = keyed.join(gone, F.col("row") == F.col("gone_row"), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    out = joined.withColumn("new_text", F.when(F.col("gone").isNull(), text).otherwise(kept)).withColumn("removed_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    columns = [F.col("new_text" if c == "text" else m).alias(c) for c, m in mine.items() if c != "removed_lines"]
-    return out.select(*columns, "removed_lines")
+    out = joined.withColumn("new_text", F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone"))))
+    taken = {c.lower() for c in df.columns}
+    name = next(n for n in ("removed_lines", *(f"removed_lines_{k}" for k in range(2, len(taken) + 3))) if n not in taken)
+    columns = [F.col("new_text" if c == "text" else m).alias(c) for c, m in mine.items()]
+    return out.select(*columns, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(name))
 
 
 ORACLE = """

@@ -59,7 +59,7 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, split_chars:
                 parts.append(part)
                 owner.append(i)
         counts = [0] * len(values)
-        for i, j in chunks(parts, [len(p) for p in parts], batch_bytes):
+        for i, j in chunks(parts, [len(p.encode()) for p in parts], batch_bytes):
             for k, ids_of in zip(owner[i:j], model.encode(parts[i:j], num_threads=1)):
                 counts[k] += len(ids_of)
         return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in values], "n_tokens": counts, "over_limit": [n > limit for n in counts]}

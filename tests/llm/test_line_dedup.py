@@ -41,3 +41,14 @@ def test_odd_rows_and_native_plan(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_long_text_and_a_column_of_the_same_name(spark):
+    lines = [f"line {i}" for i in range(3_000)]
+    text = "\n".join(lines + ["between"] + lines)
+    rows = [(1, text, "mine", "other"), (2, None, "x", None), (3, "\n".join(lines[5:9]) + "\nnew", None, None)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, removed_lines string, Removed_Lines_2 string"))
+    assert out.columns == ["doc_id", "text", "removed_lines", "Removed_Lines_2", "removed_lines_3"]
+    by = {r.doc_id: r for r in out.collect()}
+    assert by[1].text == "\n".join(lines + ["between"]) and by[1].removed_lines_3 == 3_000 and by[1].removed_lines == "mine"
+    assert by[2].text is None and (by[3].text, by[3].removed_lines_3) == ("new", 4)
