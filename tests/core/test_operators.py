@@ -427,7 +427,7 @@ def test_delimiters(text, want):
 def test_latex(spark):
     assert maths.escaped("costs $5 \\(a & b$\\) &") == "costs \\$5 \\(a \\& b$\\) &"
     assert maths.paired_delimiters("\\big( x \\big)") == "\\left( x \\right)" and maths.paired_delimiters("\\big( {x \\big)}") == "\\big( {x \\big)}"
-    assert maths.joined_dangling("\\(x =\\) 2 + 1 = 3.") == "\\(x =2+1=3\\)." and maths.aligned_at_relation("f(a=b) = c") == "f(a=b) &= c"
+    assert maths.joined_dangling("\\(x =\\) 2 + 1 = 3.") == "\\(x =2+1=3\\)." and maths.aligned_at_relation("[a=b] = c") == "[a=b] &= c"
     df = frame(spark, [("E_{s}_{,t}  x",), ("a ... b",)], "l string").select(maths.polished(F.col("l")).alias("p"))
     assert [r.p for r in df.collect()] == ["E_{s,t} x", "a \\ldots b"]
 
@@ -497,3 +497,109 @@ def test_conversion(spark):
     assert two.completion == "degraded" and {i.code for i in two.issues} == {"stage-unavailable", "edge-unchecked"} and two.markdown.startswith("---\ntype: Document") and two.build.pages == "2"
     with pytest.raises(convert.PageSelectionError):
         convert.selected(df, "9")
+
+
+def _b(i, x0, y0, x1, y1, text="a sentence of running text here", kind="text", n=1):
+    return dict(block=i, kind=kind, x0=x0, y0=y0, x1=x1, y1=y1, text=text, n_lines=n)
+
+
+def _reading(blocks, width, size):
+    return [b["block"] for b in structure.seated(structure.xy_cut(blocks, max(4.0, 0.6 * size)), width, size)]
+
+
+def test_labels_beside_definitions():
+    terms = [_b(i, 480, y, 560, y + 11, "Term two") for i, y in enumerate((170, 220, 300))]
+    told = [_b(10 + i, 610, y, 880, y + 22, "what a term means is told in a sentence", n=2) for i, y in enumerate((170, 220, 300))]
+    left = [_b(20 + i, 60, 60 + 40 * i, 460, 71 + 40 * i) for i in range(8)]
+    out = _reading(left + terms + told, 940.0, 9.0)
+    assert all(out.index(i) + 1 == out.index(10 + i) for i in range(3))
+
+
+def test_labels_that_stay():
+    torn = [_b(0, 120, 380, 550, 391), _b(1, 120, 393, 300, 404, "exist with respect"), _b(3, 420, 393, 550, 404, "and so on with more"), _b(2, 330, 393, 390, 404, "to loading"), _b(4, 120, 406, 550, 417)]
+    assert [b["block"] for b in structure.seated(torn, 600.0, 9.0)] == [0, 1, 3, 2, 4]
+    cells = [_b(0, 40, 300, 160, 311, "an author and year"), _b(1, 170, 300, 220, 311, "Rodent (40)"), _b(2, 230, 300, 350, 311, "a wide cell"), _b(3, 360, 300, 590, 311, "a later cell of the row, long enough")]
+    assert _reading(cells, 600.0, 9.0) == [0, 1, 2, 3]
+    number = [_b(1, 80, 200, 300, 214, "the title of the fifth stage", "heading"), _b(2, 80, 220, 380, 231), _b(0, 40, 200, 58, 214, "05")]
+    assert [b["block"] for b in structure.seated(number, 420.0, 9.0)] == [1, 2, 0]
+    columns = [_b(0, 50, 100, 290, 123, n=2), _b(1, 50, 140, 110, 151, "Introduction", "heading"), _b(2, 50, 160, 290, 183, n=2), _b(3, 310, 100, 550, 123, n=2), _b(4, 310, 140, 550, 175, n=3)]
+    assert _reading(columns, 600.0, 9.0) == [0, 1, 2, 3, 4]
+
+
+def test_bands_and_rows():
+    page = [_b(0, 50, 40, 550, 70), _b(1, 50, 100, 290, 300), _b(2, 50, 310, 290, 500), _b(3, 310, 100, 550, 300), _b(4, 310, 310, 550, 500), _b(5, 50, 520, 550, 540), _b(6, 50, 560, 290, 600), _b(7, 310, 560, 550, 600)]
+    assert [b["block"] for b in structure.xy_cut(page[::-1], 6.0)] == list(range(8))
+    deep = [_b(i, 0, 20 * i, 100, 20 * i + 10) for i in range(500)]
+    assert [b["block"] for b in structure.xy_cut(deep[::-1], 6.0)] == list(range(500))
+    assert structure.xy_cut([], 6.0) == []
+
+
+def test_splicing_as_bands_do():
+    shared = ["and have not compromised themselves", "in acts against the United States", "I have known Mr Law for many years"]
+    assert readings.splice("\n".join(["Besides, they are confirmed", *shared]), "\n".join([*shared, "and valued his word"])).splitlines() == ["Besides, they are confirmed", *shared, "and valued his word"]
+    dropped = readings.splice("the distribution of nodes is\nNx times Nv equals forty nine", "distribution of nodes is\nNx times Nv equals forty nine\nby ninety seven").splitlines()
+    assert dropped == ["the distribution of nodes is", "Nx times Nv equals forty nine", "by ninety seven"]
+    short = readings.splice("a letter of some length about the cargo\n1862", "1862\nand a second page about the insurance")
+    assert short.splitlines() == ["a letter of some length about the cargo", "1862", "", "1862", "and a second page about the insurance"]
+    far = "\n".join(f"line number {i} of the lower band" for i in range(9)) + "\nthe upper half of the page"
+    assert readings.splice("the upper half of the page", far).endswith(far)
+    anchored = readings.splice("one two three four five\nsmudge", "an odd line here\none two three four five\nthe rest of it all\na b c d")
+    assert anchored.splitlines() == ["one two three four five", "the rest of it all", "a b c d"]
+
+
+def test_regions_that_grow(spark):
+    rows = [(1, "text", 0.0, 0.0, 10.0, 10.0, 0.9), (1, "text", 0.0, 0.0, 10.0, 20.0, 0.5), (1, "text", 1.0, 12.0, 9.0, 19.0, 0.8), (1, "caption", 0.0, 1.0, 10.0, 19.0, 0.3), (2, "table", 74.0, 185.0, 523.0, 322.0, 0.87), (2, "table", 74.0, 459.0, 526.0, 547.0, 0.59), (3, "page_header", 0.0, 0.0, 90.0, 40.0, 0.5), (3, "title", 0.0, 0.0, 90.0, 40.0, 0.9)]
+    df = frame(spark, rows, "page int, kind string, x0 double, y0 double, x1 double, y1 double, score double")
+    out = got(boxes.clean_regions(df, ["page"], 800.0), "page", "kind", "y1", "score")
+    assert out == [(1, "text", 20.0, 0.9), (2, "table", 322.0, 0.87), (2, "table", 547.0, 0.59), (3, "page_header", 40.0, 0.5)]
+
+
+def test_reconciled_words():
+    from collections import Counter
+
+    def run(lost, added, printed=(), written=(), blob=""):
+        lost, added = Counter(lost), Counter(added)
+        out = bags.reconcile(lost, added, [p.split() for p in printed], [w.split() for w in written], blob)
+        return {k: dict(v) for k, v in out.items() if v}, dict(+lost), dict(+added)
+
+    assert run(["afer"], ["after"]) == ({"repaired": {"afer->after": 1}}, {}, {})
+    assert run(["artificial"], ["4artificial"]) == ({"glued": {"4artificial": 1}}, {}, {})
+    assert run(["1understanding"], ["understanding"], written=["1 understanding"]) == ({"split": {"1understanding": 1}}, {}, {})
+    assert run(["12other"], ["other"], written=["2 other"]) == ({}, {"12other": 1}, {"other": 1})
+    assert run(["step", "1", "two"], ["step1"], printed=["step 1 two"]) == ({"glued": {"step1": 1}}, {"two": 1}, {})
+    assert run(["oneword"], ["one", "word"], written=["one word"]) == ({"split": {"oneword": 1}}, {}, {})
+    assert run(["bu", "ildingamong", "gables"], [], printed=["bu ildingamong gables"], blob="buildingamonggables") == ({"respaced": {"bu": 1, "ildingamong": 1, "gables": 1}}, {}, {})
+    many = [f"w{i}x" for i in range(20_000)]
+    assert run(many, [f"{w}!" for w in many])[1:] == ({}, {})
+
+
+@pytest.mark.parametrize("text, want", [
+    ("take $p=q$    $dp = dq$, then", r"take \(p=q\)    \(dp = dq\), then"),
+    ("find $g(2)$ , $h(-1)$ and $Q$ of x", r"find \(g(2)\) , \(h(-1)\) and \(Q\) of x"),
+    (r"then $\cos t$ and $ln m$", r"then \(\cos t\) and \(ln m\)"),
+    *[(p, p) for p in ("$7 a $12 lamp", "$7 a day, $8 a week", "$1,300 a month", r"pays \$5 or \$6", "one $ sign", "", r"\(ours\)")],
+    (r"7. $3m + \{m - 7n\}$ $+ [9m + 1]$ $- k$ . 8.", r"7. \(3m + \{m - 7n\} + [9m + 1] - k\) . 8."),
+    (r"$u +$ $v$ and $x$ $y$", r"\(u + v\) and \(x\) \(y\)"),
+    (" ".join(["$a +$"] * 600), r"\(" + " ".join(["a +"] * 600) + r"\)"),
+    (r"$$\begin{pmatrix} a & b \\ c & d \end{pmatrix}$$", r"\[\begin{pmatrix} a & b \\ c & d \end{pmatrix}\]"),
+    (r"$$\begin{align} a &= b \end{align}$$", r"\[\begin{align} a &= b \end{align}\]"),
+    (r"$$\begin{align*} f &= g \\ &\quad - h \\ &\quad (3a) \end{align*} & (k)$$", "\\[f = g\\]\n\n\\[\\quad - h \\quad (3a)\\]\n\n\\[(k)\\]"),
+    (r"$$\begin{gather} a \\[2pt] \begin{cases} 1 & x \\ 0 & y \end{cases} \end{gather}$$", "\\[a\\]\n\n\\[\\begin{cases} 1 & x \\\\ 0 & y \\end{cases}\\]"),
+])
+def test_delimiters_at_length(text, want):
+    assert maths.delimited(text) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    (r"\bigg[ u \bigg]", r"\left[ u \right]"), (r"\Big\{ u \Big\}", r"\left\{ u \right\}"), (r"\bigl( \Big( u \Big) \bigr)", r"\left( \left( u \right) \right)"),
+    (r"\frac{\big( u \big)}{v}", r"\frac{\left( u \right)}{v}"), *[(x, x) for x in (r"\big( u", r"u \big)", r"\Bigg| u \Bigg|", r"\big( u \\ v \big)", r"\big( u & v \big)", r"{\big( u} v \big)", r"\frac{\big( u}{v \big)}")],
+])
+def test_sized_delimiters(text, want):
+    assert maths.paired_delimiters(text) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("so \\(u+v=\\)\n4 and then", "so \\(u+v=4\\) and then"), ("as \\(u=v\\) 2 things and \\(a<b\\) 3.", None), ("where \\(n=\\) the rows", None), ("\\(u =\\) \\(v\\) w", "\\(u = v\\) w"), ("\\(u=\\) 3and", None), ("\\(u=\\) 2 × (3, 4) = 5%", "\\(u=2\\times (3,4)=5%\\)"),
+])
+def test_dangling(text, want):
+    assert maths.joined_dangling(text) == (text if want is None else want)
