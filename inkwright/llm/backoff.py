@@ -12,6 +12,7 @@ keys. The number of ranges follows the number of words, so no range grows with t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from ._arrow import chunks, cut, texts
 ORDER = 3
 ALPHA = 0.4
 LEAST = 1  # occurrences of an n-gram of two words and more in other documents that let it answer
-RUN_BYTES = 10 << 20
+RUN_BYTES = 20 << 20
 RANGE_KEYS = 1 << 20  # n-grams of one order to add up in one range, at most and on average
 KEY_BITS = 56
 RAW = 64  # bytes up to which nothing is compressed
@@ -72,33 +73,56 @@ def words(text: str) -> list[bytes]:
 
 
 def tokenised(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, number of each word within the run, hash of each distinct word)."""
+    """(words of each text, number of each word within the run, hash of each distinct word); frequent words have small numbers."""
     import xxhash
 
-    ids, sizes, seen = [], [], _Ids()
+    parts, seen = [], _Ids()
     for text in values:
         own = words(text)
-        sizes.append(len(own))
-        ids += [seen[w] for w in own]
-    return np.array(sizes, np.uint64), np.array(ids, np.uint64), np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
+        parts.append(np.fromiter((seen[w] for w in own), np.uint32, len(own)))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen)) >> np.uint64(64 - KEY_BITS)
+    sizes, own = np.array([len(p) for p in parts], np.uint64), np.concatenate([np.zeros(0, np.uint32), *parts])
+    by = np.argsort(-np.bincount(own, minlength=len(seen)), kind="stable")
+    rank = np.empty(len(seen), np.uint32)
+    rank[by] = np.arange(len(seen), dtype=np.uint32)
+    return sizes, rank[own], hashes[by]
 
 
-def exploded(sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def written(sizes: np.ndarray, own: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The three as bytes: word numbers in sixteen bits where they fit, the rest of them apart."""
+    low = np.minimum(own, 0xFFFF).astype("<u2")
+    body = _codec().compress(low.tobytes(), asbytes=True)
+    return squeeze(sizes), len(own).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body + squeeze(own[low == 0xFFFF]), squeeze(hashes)
+
+
+def read(sizes: bytes, own: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `written` has made of a run."""
+    n, size = int.from_bytes(own[:8], "little"), int.from_bytes(own[8:16], "little")
+    numbers = np.frombuffer(_codec().decompress(own[16 : 16 + size], 2 * n, asbytes=True), "<u2").astype(np.uint32) if n else np.zeros(0, np.uint32)
+    numbers[numbers == 0xFFFF] = expand(own[16 + size :])
+    return expand(sizes), numbers, expand(hashes)
+
+
+def exploded(sizes: np.ndarray, own: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
     """(document of each word, its place there, for n = 1 to order the key of the n-gram that ends at it).
 
     Keys are hashes of 56 bits; those that would reach over a document's start are not to be used.
     """
     sizes = sizes.astype(np.int64)
-    word = hashes[ids.astype(np.int64)] if len(ids) else np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keys, last = [word], word
-    for n in range(2, order + 1):
-        before = np.zeros(len(word), np.uint64)
-        before[1:] = last[:-1]
-        last = _mix(before * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n))
-        keys.append(last)
-    return doc, place, [k >> np.uint64(64 - KEY_BITS) for k in keys]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place = (np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+
+    def keys() -> Iterator[np.ndarray]:
+        word = hashes[own] if len(own) else np.zeros(0, np.uint64)
+        last = word
+        for n in range(1, order + 1):
+            if n > 1:
+                before = np.zeros(len(word), np.uint64)
+                before[1:] = last[:-1]
+                last = _mix(before * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n)) >> np.uint64(64 - KEY_BITS)
+            yield last
+
+    return doc, place, keys()
 
 
 def _runs(batches, run_bytes: int):
@@ -125,7 +149,7 @@ def score_parts(counts: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_
     """
     order = len(counts)
     total = np.zeros(len(doc))
-    level = np.zeros(len(doc), np.int64)  # the order that answers; zero: none yet
+    level = np.zeros(len(doc), np.int8)  # the order that answers; zero: none yet
     for n in range(order, 0, -1):
         found = (level == 0) & (place >= n - 1) & ((counts[n - 1] >= least) | (n == 1))
         level[found] = n
@@ -152,9 +176,9 @@ def score(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int =
     def write(batches):
         for number, (ids, values) in enumerate(_runs(batches, run_bytes)):
             run = (TaskContext.get().partitionId() << 32) + number
-            sizes, own, hashes = tokenised(values)
+            parts = tokenised(values)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([run]), pa.array([ids], pa.list_(pa.int64())), pa.array([len(own)]), *(pa.array([squeeze(x)], pa.binary()) for x in (sizes, own)), pa.array([hashes.tobytes()], pa.binary())],
+                [pa.array([run]), pa.array([ids], pa.list_(pa.int64())), pa.array([len(parts[1])]), *(pa.array([x], pa.binary()) for x in written(*parts))],
                 names=["run", "ids", "n_words", "sizes", "words", "hashes"],
             )
 
@@ -163,15 +187,12 @@ def score(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int =
     bits = max(0, math.ceil(math.log2(max(1, corpus) / range_keys)))
     shift = np.uint64(KEY_BITS - bits)
 
-    def body(sizes: bytes, own: bytes, hashes: bytes):
-        return exploded(expand(sizes), expand(own), np.frombuffer(hashes, np.uint64), order)
-
     def ask(batches):
         for batch in batches:
             for run, *parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                _, place, keys = body(*parts)
-                for n in range(1, order + 1):
-                    own, times = np.unique(keys[n - 1][place >= n - 1], return_counts=True)
+                _, place, keys = exploded(*read(*parts), order)
+                for n, key in enumerate(keys, 1):
+                    own, times = np.unique(key[place >= n - 1], return_counts=True)
                     ranges, starts = np.unique(own >> shift, return_index=True)
                     deltas = np.diff(own, prepend=np.uint64(0))
                     deltas[starts] = own[starts] - (ranges << shift)
@@ -194,15 +215,15 @@ def score(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int =
 
     def settle(answers: pa.Table, own: pa.Table) -> pa.Table:
         parts, blobs = answers.column("part").to_pylist(), answers.column("blob")
-        doc, place, keys = body(*(own.column(c)[0].as_py() for c in ("sizes", "words", "hashes")))
+        doc, place, keys = exploded(*read(*(own.column(c)[0].as_py() for c in ("sizes", "words", "hashes"))), order)
         ids = own.column("ids")[0].as_py()
         counts = []
-        for n in range(order):
+        for n, key in enumerate(keys):
             asked = np.flatnonzero(place >= n)
-            distinct, at = np.unique(keys[n][asked], return_inverse=True)
+            distinct, at = np.unique(key[asked], return_inverse=True)
             ordered = sorted((part, i) for i, part in enumerate(parts) if part % order == n)
             totals = np.concatenate([np.zeros(0, np.uint64), *(expand(blobs[i].as_py()) for _, i in ordered)])
-            _, mine, times = np.unique(doc[asked] * max(1, len(distinct)) + at, return_inverse=True, return_counts=True)
+            _, mine, times = np.unique(doc[asked] * np.int64(max(1, len(distinct))) + at, return_inverse=True, return_counts=True)
             full = np.zeros(len(place))
             full[asked] = totals.astype(float)[at] - times[mine]
             counts.append(full)

@@ -55,3 +55,13 @@ def test_packed_numbers():
     for values in ([], [0], [1, 255, 256, 2**40], [2**63], list(range(1000))):
         x = np.array(values, np.uint64)
         assert (backoff.expand(backoff.squeeze(x)) == x).all()
+
+
+def test_written_runs():
+    import numpy as np
+
+    many = [" ".join(f"w{i}" for i in range(70_000)), "", "w1 w1 w69999", "  "]
+    parts = backoff.tokenised(many)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(backoff.read(*backoff.written(*parts)), parts))
+    assert parts[0].tolist() == [70_000, 0, 3, 0] and parts[1][70_000] == parts[1][1] == 0
+    assert [len(x) for x in backoff.read(*backoff.written(*backoff.tokenised([])))] == [0, 0, 0] and np.unique(parts[2]).size == 70_000
