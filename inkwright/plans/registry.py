@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("pages", "quality", "readings", "checks", "boxes", "rendering", "streams"):
+for _name in ("pages", "quality", "readings", "checks", "boxes", "rendering", "streams", "derived"):
     _module = import_module(f"inkwright.plans.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
