@@ -119,37 +119,47 @@ def core(token: Column) -> Column:
 _SYMBOL = r"\p{L}\p{N}\-'’/&."
 
 
-def garbled(token: Column) -> Column:
-    """A token that no language makes, by the first rule that speaks.
+_PLAIN_WORD = r"^[(\"“]?[A-Za-z]?[a-z]*[aeiouy][a-z]*[.,;:!?)\"”]*$"
+
+
+def garbled_of(tokens: Column) -> Column:
+    """Of an array of tokens those that no language makes, by the first rule that speaks, as structs with their parts.
 
     Too short, or an address: not. Two symbols beside letters: garbled. Fewer than three letters: not.
     Then garbled are a mark at an end, a symbol inside, a digit between letters, case that rises twice
-    inside, and five Latin letters without a vowel. Most tokens leave by the plain rule in front.
+    inside, and five Latin letters without a vowel. Most tokens leave by the plain rule in front; the parts of the others are made
+    once, step by step, as an expression shares nothing within a lambda.
     """
-    c = core(token)
-    letters = F.regexp_replace(c, r"[^\p{L}]", "")
-    symbols = count_not(c, _SYMBOL)
-    inner = F.substring(c, F.lit(2), F.length(c) - 2)
-    return (
-        F.when(token.rlike(r"^[(\"“]?[A-Za-z]?[a-z]*[aeiouy][a-z]*[.,;:!?)\"”]*$"), F.lit(False))
-        .when(F.length(c) < 4, False)
-        .when(F.contains(c, F.lit("://")) | F.startswith(F.lower(c), F.lit("www.")) | F.contains(c, F.lit("@")), False)
-        .when((symbols >= 2) & (letters != ""), True)
-        .when(F.length(letters) < 3, False)
-        .when(c.rlike(r"^[~*#|^`]|[~*#|^`]$"), True)
-        .when(count_not(inner, _SYMBOL) > 0, True)
-        .when(c.rlike(r"\p{L}\p{Nd}\p{L}"), True)
-        .when(F.length(inner) - F.length(F.regexp_replace(inner, r"\p{Ll}\p{Lu}", "1")) >= 2, True)
-        .when((F.length(letters) >= 5) & (count_not(letters, r"\x{0000}-\x{024F}") == 0) & (count_of(F.lower(letters), LATIN_VOWELS) == 0), True)
-        .otherwise(False)
-    )
+    left = F.transform(F.filter(tokens, lambda t: ~t.rlike(_PLAIN_WORD)), lambda t: F.struct(core(t).alias("c")))
+    left = F.filter(left, lambda s: (F.length(s["c"]) >= 4) & ~(F.contains(s["c"], F.lit("://")) | F.startswith(F.lower(s["c"]), F.lit("www.")) | F.contains(s["c"], F.lit("@"))))
+    parts = F.transform(left, lambda s: F.struct(s["c"].alias("c"), F.regexp_replace(s["c"], r"[^\p{L}]", "").alias("letters"), F.substring(s["c"], F.lit(2), F.length(s["c"]) - 2).alias("inner"), count_not(s["c"], _SYMBOL).alias("symbols")))
+
+    def rules(s: Column) -> Column:
+        c, letters, inner = s["c"], s["letters"], s["inner"]
+        return (
+            F.when((s["symbols"] >= 2) & (letters != ""), True)
+            .when(F.length(letters) < 3, False)
+            .when(c.rlike(r"^[~*#|^`]|[~*#|^`]$"), True)
+            .when((s["symbols"] > 0) & (count_not(inner, _SYMBOL) > 0), True)
+            .when(c.rlike(r"\p{L}\p{Nd}\p{L}"), True)
+            .when(inner.rlike(r"\p{Ll}\p{Lu}.*\p{Ll}\p{Lu}"), True)
+            .when((F.length(letters) >= 5) & ~F.lower(letters).rlike(f"[{LATIN_VOWELS}]") & (count_not(letters, r"\x{0000}-\x{024F}") == 0), True)
+            .otherwise(False)
+        )
+
+    return F.filter(parts, rules)
+
+
+def garbled(token: Column) -> Column:
+    """Whether no language makes the token; see garbled_of."""
+    return F.size(garbled_of(F.array(token))) > 0
 
 
 def garbled_in_script(token: Column) -> Column:
     """garbled, judged piece by piece: marks are part of their letters, and scripts without spaces are cut out."""
     plain = F.regexp_replace(token, r"\p{M}", "")
     pieces = F.split(plain, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\x{3000}-\x{303F}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF20}]")
-    return F.exists(pieces, garbled)
+    return F.size(garbled_of(pieces)) > 0
 
 
 def bad_chars(text: Column) -> Column:

@@ -35,7 +35,7 @@ def token_shares(pages: DataFrame) -> DataFrame:
     n = F.size("_t")
     part = lambda test: F.size(F.filter("_t", test))
     return split.select(
-        *pages.columns, F.size("_j").alias("judged"), F.size(F.filter("_j", T.garbled)).alias("garbled"),
+        *pages.columns, F.size("_j").alias("judged"), F.size(T.garbled_of(F.col("_j"))).alias("garbled"),
         n.alias("n_tokens"), part(T.wordlike).alias("wordlike"), part(T.language_like).alias("language_like"), part(lambda t: t.rlike(r"^[$€£(<>≤≥~+\-−]*[0-9][0-9.,]*%?[)*†]*$")).alias("numeric"),
     ).withColumns({
         "garbage_share": T.share(F.col("garbled"), F.col("judged")), "wordlike_share": T.share(F.col("wordlike"), F.col("n_tokens")),

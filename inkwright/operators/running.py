@@ -68,10 +68,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def classes(paged: DataFrame) -> DataFrame:
-    """paged (file, page, text) with g, its set of word pairs, and cls, 128 bits that name the set: pages of equal sets are one class. Written once, as all that compares issues reads it."""
-    out = paged.withColumn("g", T.bigrams(T.words(F.coalesce("text", F.lit("")))))
-    joined = F.array_join("g", "\n")
-    return cut(out.withColumn("cls", F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b"))))
+    """paged (file, page, text) with g, its set of word pairs as 64-bit hashes, and cls, 128 bits that name the set: pages of equal sets are one class. Written once, as all that compares issues reads it."""
+    out = paged.withColumn("_g", T.bigrams(T.words(F.coalesce("text", F.lit("")))))
+    joined = F.array_join("_g", "\n")
+    hashed = F.transform("_g", lambda pair: F.xxhash64(pair))
+    return cut(out.select(*paged.columns, hashed.alias("g"), F.struct(F.xxhash64(joined).alias("a"), F.xxhash64(F.lit(1), joined).alias("b")).alias("cls")))
 
 
 def likeness(old: DataFrame, new: DataFrame, least: float = PAIR) -> DataFrame:
@@ -83,7 +84,7 @@ def likeness(old: DataFrame, new: DataFrame, least: float = PAIR) -> DataFrame:
     """
     side = lambda df, new_side: df.groupBy("file", "cls").agg(F.first("g").alias("g"), F.min("page").alias("page")).withColumn("new", F.lit(new_side))
     both = cut(side(old, False).union(side(new, True)))
-    grams = both.select("file", "cls", "new", F.explode(F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.lit("")))).alias("gram"))
+    grams = both.select("file", "cls", "new", F.explode(F.when(F.size("g") > 0, F.col("g")).otherwise(F.array(F.lit(0).cast("long")))).alias("gram"))
     often = grams.groupBy("file", "gram").agg(F.count("*").alias("n"))
     ranked = grams.join(often, ["file", "gram"]).groupBy("file", "cls", "new").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("r"))
     size = F.size("r")

@@ -18,8 +18,18 @@ FOLD = rf"regexp_replace(regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g'),
 EDGES = f"""{P}, ed AS (SELECT *, {FOLD} AS fold FROM bd WHERE band <> 'body')"""
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 RUN = lambda reach: f"EXISTS (SELECT 1 FROM ed b WHERE b.file = a.file AND b.band = a.band AND b.fold = a.fold AND b.page <> a.page AND abs(b.page - a.page) <= {reach})"
-ISSUES = P + """, old AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents WHERE doc_id % 2 = 0),
-new AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents WHERE doc_id % 2 = 1)"""
+def _issue(name: str, half: int) -> str:
+    """The pages of one issue with the words that do not run from page to page, as tables of a WITH clause."""
+    run = f"EXISTS (SELECT 1 FROM {name}_ed b WHERE b.file = a.file AND b.band = a.band AND b.fold = a.fold AND abs(b.page - a.page) = 1)"
+    return f"""{name}_pg AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents WHERE doc_id % 2 = {half}),
+{name}_ln AS (SELECT * FROM (SELECT file, page, generate_subscripts(parts, 1) - 1 AS line_no, len(parts) AS n_lines, unnest(parts) AS line FROM (SELECT *, string_split(text, chr(10)) AS parts FROM {name}_pg)) WHERE trim(line) <> ''),
+{name}_bd AS (SELECT *, CASE WHEN line_no < greatest(1, ceil(n_lines * 0.12)) THEN 'head' WHEN line_no >= n_lines - greatest(1, ceil(n_lines * 0.12)) THEN 'foot' ELSE 'body' END AS band FROM {name}_ln),
+{name}_ed AS MATERIALIZED (SELECT *, {FOLD} AS fold FROM {name}_bd WHERE band <> 'body'),
+{name}_rn AS MATERIALIZED (SELECT file, page, line_no, {run} AS rep FROM {name}_ed a),
+{name} AS MATERIALIZED (SELECT p.file, p.page, coalesce(b.body, '') AS text FROM {name}_pg p LEFT JOIN (SELECT file, page, string_agg(line, ' ' ORDER BY line_no) FILTER (rep IS NOT TRUE) AS body FROM {name}_bd LEFT JOIN {name}_rn USING (file, page, line_no) GROUP BY file, page) b ON b.file = p.file AND b.page = p.page)"""
+
+
+ISSUES = "WITH " + _issue("old", 0) + ",\n" + _issue("new", 1)
 BIGRAMS = lambda t: f"""(SELECT file, page, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1] || ' '] ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS g FROM (SELECT file, page, {WORDS} AS w FROM {t}))"""
 LIKE = ISSUES + f""", oc AS MATERIALIZED (SELECT file, page, list_sort(g) AS g FROM {BIGRAMS('old')}), nc AS MATERIALIZED (SELECT file, page, list_sort(g) AS g FROM {BIGRAMS('new')}),
 od AS (SELECT file, g, min(page) AS page FROM oc GROUP BY file, g), nd AS (SELECT file, g, min(page) AS page FROM nc GROUP BY file, g),
@@ -35,9 +45,15 @@ def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two issues of each source: the documents of even and of odd ids, each numbered anew."""
+    """Two issues of each source: the documents of even and of odd ids, each numbered anew, without the lines that run from page to page."""
     docs = A.read(spark, sf_dir, "documents")
-    return A.pages(docs.filter("doc_id % 2 = 0")), A.pages(docs.filter("doc_id % 2 = 1"))
+
+    def issue(half: int) -> DataFrame:
+        pages = A.pages(docs.filter(f"doc_id % 2 = {half}"))
+        bodies = R.prints(A.banded(A.lines(pages))).select("file", "page", F.col("body").alias("text"))
+        return pages.select("file", "page").join(bodies, ["file", "page"], "left").select("file", "page", F.coalesce("text", F.lit("")).alias("text"))
+
+    return issue(0), issue(1)
 
 
 def classed_issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -139,13 +155,14 @@ def page_match_kinds(spark, sf_dir):
     return R.classed(R.matched(*classed_issues(spark, sf_dir)), *prints)
 
 
-@query()
+@query("SELECT conv_id, turn, conv_id || ' -> ' || (conv_id + 1) || ' now' AS figures, CASE WHEN role = 'user' THEN 'asked -> told' ELSE '' END AS wording FROM conversations WHERE text IS NOT NULL AND len(regexp_extract_all(text, '[^\\s]+')) > 0")
 def page_changes(spark, sf_dir):
-    old, new = classed_issues(spark, sf_dir)
-    a = old.select("file", F.col("page").alias("old_page"), F.col("text").alias("ot"))
-    b = new.select("file", F.col("page").alias("new_page"), F.col("text").alias("nt"))
-    pairs = R.likeness(old, new).join(a, ["file", "old_page"]).join(b, ["file", "new_page"]).filter("ot <> nt")
-    return pairs.select("file", "old_page", "new_page", R.changes("ot", "nt").alias("c")).select("file", "old_page", "new_page", F.size("c.figures").alias("figures"), F.size("c.wording").alias("wording"))
+    """Every turn of a conversation against a copy with another number, a word more and, for the user's, another word."""
+    rows = A.read(spark, sf_dir, "conversations").filter("text IS NOT NULL").filter(F.size(T.tokens(F.col("text"))) > 0)
+    user, conv = F.col("role") == "user", F.col("conv_id")
+    old = F.concat(F.lit("of "), conv.cast("string"), F.lit(" "), "text", F.lit(" "), F.when(user, "asked").otherwise("told"))
+    new = F.concat(F.lit("of "), (conv + 1).cast("string"), F.lit(" now "), "text", F.lit(" told"))
+    return rows.select("conv_id", "turn", R.changes(old, new).alias("c")).select("conv_id", "turn", F.array_join("c.figures", "|").alias("figures"), F.array_join("c.wording", "|").alias("wording"))
 
 
 @query(LIKE + " SELECT file, page FROM oc o WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.file = o.file AND lk.og = o.g)")

@@ -136,7 +136,7 @@ def word_bag_added(spark, sf_dir):
 def word_check(spark, sf_dir):
     rows = A.read(spark, sf_dir, "documents")
     old, new = (A.pages(rows.filter(f"doc_id % 2 = {k}")).select("file", "page", F.col("text").alias(name)) for k, name in ((0, "printed"), (1, "written")))
-    return B.word_check(old.join(new, ["file", "page"], "left").withColumn("accounted", F.lit("")), ["file", "page"])
+    return B.word_check(old.join(new, ["file", "page"], "full").withColumn("accounted", F.lit("")), ["file", "page"])
 
 
 @query(r"SELECT token, n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token, count(*) AS n FROM documents GROUP BY token) ORDER BY n DESC, token LIMIT 50")

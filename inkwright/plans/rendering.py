@@ -237,10 +237,19 @@ def escape_dollars(spark, sf_dir):
     return rows.select("doc_id", M.escape_dollars(M.normalise_delimiters(F.regexp_replace("text", r"([a-z]) ([a-z])\b", r"$1 \$$2\$"))).alias("text"))
 
 
-@query(r"SELECT doc_id, " + "trim(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[\\x{0300}-\\x{036F}]', '', 'g'), '\\s+', ' ', 'g')) AS latex FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\\\]|[.]{3}|≠|[_^][{]')")
+ACCIDENTS = (
+    (r"a\cdot\cdot\cdot b", r"a\cdots b"), (r"a, ... , z", r"a, \ldots , z"), ("x\u0338= y", r"x\neq y"), ("a \\equiv\u0338 b", r"a \not\equiv b"), (r"a \notin B", r"a \not\in B"), (r"f^{\sim}= g", r"f\cong g"),
+    (r"(\mod 7)", r"\pmod{7}"), (r"\mathbf{w}\mathbf{o}\mathbf{r}\mathbf{d}", r"\mathbf{word}"), (r"A -^{a}-^{b}--\rightarrow B", r"A \xrightarrow{ab} B"), (r"E_{s}_{,t} +  x^{2}^{a}", r"E_{s,t} + x^{2a}"), (r"\big( x \big)", r"\left( x \right)"),
+    (r"\leftarrow\rightarrow y", r"\longleftrightarrow y"), (r"x_{a_{b}}", r"x_{a_{b}}"), (r"._{._{.}}", r"\ddots"), ("é\u0301", "é"),
+)
+
+
+@query("WITH k AS (SELECT " + "[" + ", ".join("'" + b + "'" for _, b in ACCIDENTS) + f"] AS k) SELECT p_partkey, k[p_partkey % {len(ACCIDENTS)} + 1] || ' z_{{' || p_size || '}}' AS latex FROM part, k")
 def polished_latex(spark, sf_dir):
-    rows = A.read(spark, sf_dir, "documents").filter("text IS NOT NULL").filter(~F.col("text").rlike(r"[\\]|[.]{3}|≠|[_^][{]"))
-    return rows.select("doc_id", M.polished(F.col("text")).alias("latex"))
+    """A part's size as a script behind an accident of every kind."""
+    part = A.read(spark, sf_dir, "part")
+    accident = F.element_at(F.array(*[F.lit(a) for a, _ in ACCIDENTS]), (F.pmod("p_partkey", F.lit(len(ACCIDENTS))) + 1).cast("int"))
+    return part.select("p_partkey", M.polished(F.concat(accident, F.lit(" z_{"), F.col("p_size").cast("string"), F.lit("}"))).alias("latex"))
 
 
 def sheet_rows(spark, sf_dir, other=False):
