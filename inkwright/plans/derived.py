@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwright.functions import fonts, geometry as G, text as T
 from inkwright.operators import boxes as X
+from inkwright.operators import characters as H
 from inkwright.operators import checks as C
 from inkwright.operators import convert as V
 from inkwright.operators import maths as M
@@ -158,6 +159,138 @@ def baselines(spark, sf_dir):
     return Q.baselines(sized(spark, sf_dir), "line").withColumn("baseline", F.round("baseline", 6))
 
 
+# ---- mends of a text layer ----------------------------------------------------------------------------
+
+SPREAD = """WITH c AS (SELECT p_partkey AS line, generate_subscripts(string_split(p_name, ''), 1) AS i, unnest(string_split(p_name, '')) AS ch FROM part WHERE p_partkey % 2 = 0), w AS (SELECT line, i, ch, i * 8.0::DOUBLE AS x0 FROM c WHERE ch <> ' '),
+ n AS (SELECT *, count(*) OVER (PARTITION BY line) AS n, CASE WHEN x0 - lag(x0) OVER (PARTITION BY line ORDER BY x0) <= 9.5 THEN 0 ELSE 1 END AS o FROM w), k AS (SELECT *, CASE WHEN n >= 6 THEN sum(o) OVER (PARTITION BY line ORDER BY x0) ELSE i END AS word FROM n)"""
+
+
+@query(SPREAD + " SELECT line, string_agg(ch, '' ORDER BY x0) AS text, min(x0) AS x0, max(x0) + 5 AS x1 FROM k GROUP BY line, word UNION ALL SELECT p_partkey, unnest(string_split(p_name, ' ')), 0, 5 FROM part WHERE p_partkey % 2 = 1")
+def spaced_letters(spark, sf_dir):
+    """The letters of every other part's name as words of their own, eight points apart; the others' words as they are, at one place."""
+    part = A.read(spark, sf_dir, "part")
+    letters = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("line"), F.posexplode(F.filter(F.split("p_name", ""), lambda x: x != "")).alias("i", "text")).filter("text <> ' '").select("line", "text", F.lit(8.0).alias("size"), ((F.col("i") + 1) * 8.0).alias("x0"), ((F.col("i") + 1) * 8.0 + 5).alias("x1"))
+    words = part.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("line"), F.explode(F.split("p_name", " ")).alias("text"), F.lit(8.0).alias("size"), F.lit(0.0).alias("x0"), F.lit(5.0).alias("x1"))
+    return H.spaced_letters(letters.union(words), ["line"])
+
+
+@query("""SELECT c_custkey AS page, 0 AS line, CASE WHEN c_custkey % 3 = 0 THEN substr(c_name, 1, 1) || substr(c_mktsegment, 2) ELSE substr(c_mktsegment, 2) END AS text, CASE WHEN c_custkey % 3 = 0 THEN 24.0 ELSE 45.0 END AS x0 FROM customer
+ UNION ALL SELECT c_custkey, 1, 'second line', 45.0 FROM customer UNION ALL SELECT c_custkey, 2, substr(c_name, 1, 1), CASE WHEN c_custkey % 3 = 1 THEN 24.0 ELSE 0.0 END FROM customer WHERE c_custkey % 3 <> 0""")
+def drop_caps(spark, sf_dir):
+    """A customer's segment as a first line with its initial beside it: tall; of the line's own size; or too far off."""
+    c, third = F.col, F.col("c_custkey") % 3
+    row = lambda n, text, size, x0, y0, x1, y1: F.struct(F.lit(n).alias("line"), text.alias("text"), F.lit(1.0).alias("_"), size.alias("size"), x0.alias("x0"), F.lit(y0).alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    tall = F.when(third == 1, 10.0).otherwise(41.0)
+    at = F.when(third == 2, 0.0).otherwise(24.0)
+    lines = F.array(
+        row(0, F.expr("substring(c_mktsegment, 2)"), F.lit(10.0), F.lit(45.0), 247.0, F.lit(130.0), F.lit(257.0)), row(1, F.lit("second line"), F.lit(10.0), F.lit(45.0), 258.0, F.lit(130.0), F.lit(268.0)),
+        row(2, F.substring("c_name", 1, 1), tall, at, 241.0, at + 20.5, F.lit(241.0) + tall),
+    )
+    rows = A.read(spark, sf_dir, "customer").select(c("c_custkey").alias("page"), F.explode(lines).alias("r")).select("page", "r.line", "r.text", "r.size", "r.x0", "r.y0", "r.x1", "r.y1")
+    return H.drop_caps(rows, ["page"]).select("page", "line", "text", "x0")
+
+
+@query("""WITH s AS (SELECT p_partkey AS page, p_name || CASE WHEN p_partkey % 4 = 0 THEN 'office' WHEN p_partkey % 4 = 1 THEN 'waffle' WHEN p_partkey % 4 = 2 THEN 'plain' ELSE 'abc' END || ' a long run of letters' AS t FROM part) SELECT page, CASE WHEN page % 4 = 3 THEN replace(t, 'abc', 'ab') || chr(12) ELSE t END AS text FROM s""")
+def tex_letters(spark, sf_dir):
+    """A part's name and a word whose ligature is a raw code; every fourth has a code beside no letter, which stays."""
+    at = F.col("p_partkey") % 4
+    end = F.when(at == 0, "o\x0ece").when(at == 1, "wa\x0ble").when(at == 2, "plain").otherwise("ab")
+    text = F.concat("p_name", end, F.lit(" a long run of letters"), F.when(at == 3, " \x0c").otherwise(""))
+    each = A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.posexplode(F.filter(F.split(text, ""), lambda x: x != "")).alias("at", "ch"), F.lit("CMR10").alias("font")).withColumns({"x0": F.col("at") * 5.0, "x1": F.col("at") * 5.0 + 5.0})
+    out = H.tex_letters(each, ["page"], ["page"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part", "ch"))), lambda s: s["ch"]), "")
+    return out.groupBy("page").agg(joined.alias("text")).withColumn("text", F.regexp_replace("text", " \x0c$", "\x0c"))
+
+
+@query("""SELECT p_partkey AS line, CASE p_partkey % 4 WHEN 0 THEN 'Ramón' WHEN 1 THEN 'Hölder' WHEN 2 THEN 'x´ y' ELSE 'q¨' END AS text FROM part""")
+def composed_accents(spark, sf_dir):
+    """Words with an accent of its own: over the letter before it, over the one behind it, over none, and over one that has no such form."""
+    at = F.col("p_partkey") % 4
+    one = lambda ch, x: F.struct(F.lit(ch).alias("ch"), F.lit(float(x)).alias("x0"))
+    word = F.when(at == 0, F.array(one("R", 0), one("a", 5), one("m", 10), one("o", 15), one("´", 15), one("n", 20))).when(at == 1, F.array(one("H", 0), one("¨", 5), one("o", 5), one("l", 10), one("d", 15), one("e", 20), one("r", 25))).when(at == 2, F.array(one("x", 0), one("´", 9), one(" ", 12), one("y", 20))).otherwise(F.array(one("q", 0), one("¨", 0)))
+    each = A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.posexplode(word).alias("at", "c")).select("line", "at", "c.ch", F.lit("Times").alias("font"), F.lit(10.0).alias("size"), "c.x0", (F.col("c.x0") + 5).alias("x1"))
+    out = H.composed_accents(each, ["line"])
+    return out.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "ch"))), lambda s: s["ch"]), "").alias("text"))
+
+
+@query(P + """, l AS (SELECT page, box AS line, box % 9 AS n, 4.0 + box % 4 * 3.0 AS size, (y0 + y1) / 2 AS base, x0, y0, x1, y1 FROM bx), met AS (SELECT a.page, a.line AS satellite, b.line AS host, abs(a.base - b.base) AS d FROM l a JOIN l b ON b.page = a.page AND b.line <> a.line AND b.n >= 2 AND a.n <= 6 AND a.size < 0.85 * b.size AND a.x0 >= b.x0 AND a.x1 <= b.x1 AND a.base BETWEEN b.y0 AND b.y1)
+ SELECT page, satellite, host FROM met QUALIFY row_number() OVER (PARTITION BY page, satellite ORDER BY d, host) = 1""")
+def satellites(spark, sf_dir):
+    c = F.col
+    lines = boxes(spark, sf_dir).select("page", c("box").alias("line"), (c("box") % 9).alias("n_words"), (4.0 + c("box") % 4 * 3.0).alias("size"), ((c("y0") + c("y1")) / 2).alias("baseline"), "x0", "y0", "x1", "y1")
+    return H.satellites(lines, K)
+
+
+@query("""SELECT o_orderkey, o_custkey % 9000 AS value, round(100.0 * (5 + length(CAST(o_custkey % 9000 AS VARCHAR)) / 2.0::DOUBLE) / (29 + length(CAST(o_custkey % 9000 AS VARCHAR))), 6) AS x FROM orders""")
+def standing_numbers(spark, sf_dir):
+    text = F.concat(F.lit("Page "), (F.col("o_custkey") % 9000).cast("string"), F.lit(" | v2.1 a-7 12% 3,4 $5 ."))
+    rows = A.read(spark, sf_dir, "orders").select("o_orderkey", text.alias("line"), F.lit(0.0).alias("x0"), F.lit(100.0).alias("x1"))
+    return H.standing_numbers(rows).select("o_orderkey", "value", F.round("x", 6).alias("x"))
+
+
+@query(P + """, s AS (SELECT page, box % 3 AS col, x0, x1, lag(x1) OVER w AS px, lag(box % 3) OVER w AS pc FROM bx WINDOW w AS (PARTITION BY page ORDER BY x0, x1, box % 3)) SELECT page, coalesce(bool_or(col <> pc AND x0 - px < 6), false) AS across, coalesce(max(x0 - px) >= 8, false) AS multicell FROM s GROUP BY page""")
+def row_tests(spark, sf_dir):
+    b = boxes(spark, sf_dir).select("page", (F.col("box") % 3).alias("col"), "x0", "x1")
+    return H.across_columns(b, K).join(H.multicell(b, K), K)
+
+
+@query(A.SQL + r""" SELECT file, page, count(*) < 3 OR count(*) FILTER (regexp_matches(trim(line), '^\p{Lu}')) <= 0.3 * count(*) AS runs_on FROM ln GROUP BY file, page""")
+def paragraph_or_cells(spark, sf_dir):
+    lines = A.lines(A.pages(A.read(spark, sf_dir, "documents"))).select("file", "page", F.col("line").alias("text"))
+    return H.runs_on(lines, ["file", "page"])
+
+
+@query(HALVES + """ SELECT a.page, a.box, arg_max(b.box, (greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), -1), -b.box)) AS col FROM a JOIN b ON b.page = a.page GROUP BY ALL""")
+def column_of_box(spark, sf_dir):
+    even, odd = halves(spark, sf_dir)
+    return H.column_of(even, odd.select("page", F.col("box").alias("col"), F.col("x0").alias("low"), F.col("x1").alias("high")), K, "box")
+
+
+@query(HALVES + """, m AS (SELECT a.page, a.box AS figure, a.x1 - a.x0 AS w, a.y1 - a.y0 AS h, a.x0, a.y0, a.x1, a.y1, (a.x0 + a.x1) / 2 AS cx, (a.y0 + a.y1) / 2 AS cy FROM a WHERE a.x1 - a.x0 BETWEEN 3 AND 30 AND a.y1 - a.y0 BETWEEN 3 AND 30 AND (a.x1 - a.x0) / (a.y1 - a.y0) BETWEEN 0.4 AND 2.5),
+ t AS (SELECT * FROM b WHERE box % 4 = 1), l AS (SELECT * FROM b WHERE box % 4 = 3), k AS (SELECT m.page, m.figure, 0 AS r FROM m JOIN t ON t.page = m.page AND m.cx BETWEEN t.x0 AND t.x1 AND m.cy BETWEEN t.y0 AND t.y1
+ UNION ALL SELECT m.page, m.figure, 1 FROM m JOIN l ON l.page = m.page AND l.y1 >= m.y0 AND l.y0 <= m.y1 AND abs((l.y0 + l.y1) / 2 - m.cy) <= 0.7 * greatest(l.y1 - l.y0, m.y1 - m.y0) AND (l.x0 - m.x1 BETWEEN -1 AND 30 OR (m.cx BETWEEN l.x0 AND l.x1 AND m.cy BETWEEN l.y0 AND l.y1)))
+ SELECT page, figure, CASE min(r) WHEN 0 THEN 'in a table' ELSE 'at the head of a line' END AS place FROM k GROUP BY page, figure""")
+def icons(spark, sf_dir):
+    even, odd = halves(spark, sf_dir)
+    figures = even.filter(H.mark_sized(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(612.0), F.lit(792.0))).withColumnRenamed("box", "figure")
+    return H.icons(figures, odd.filter("box % 4 = 1"), odd.filter("box % 4 = 3"), K)
+
+
+TOUCH = P + """, u AS (SELECT page, box, floor(x0 / 8) * 8.0 AS x0, y0, floor(x0 / 8) * 8.0 + 8 AS x1, y0 + 4 AS y1 FROM bx), pr AS (SELECT a.page, a.box AS a, b.box AS b FROM u a JOIN u b ON b.page = a.page AND a.box < b.box AND (((abs(a.x1 - b.x0) <= 1 OR abs(b.x1 - a.x0) <= 1) AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 0.5 * 4) OR ((abs(a.y1 - b.y0) <= 1 OR abs(b.y1 - a.y0) <= 1) AND least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.5 * 8)))"""
+
+
+def tiles(spark, sf_dir):
+    """Boxes laid on a grid of eight by four points, so that neighbours touch."""
+    left = F.floor(F.col("x0") / 8) * 8.0
+    return boxes(spark, sf_dir).select("page", F.col("box").alias("fill"), left.alias("x0"), "y0", (left + 8).alias("x1"), (F.col("y0") + 4).alias("y1"))
+
+
+@query(TOUCH + " SELECT page, a, b FROM pr")
+def touching_fills(spark, sf_dir):
+    return H.touching(tiles(spark, sf_dir), K)
+
+
+@query(TOUCH.replace("WITH bx", "WITH RECURSIVE bx") + """, e AS (SELECT page, a, b FROM pr UNION SELECT page, b, a FROM pr), r(page, fill, grp) AS (SELECT page, box, box FROM u UNION SELECT r.page, e.b, r.grp FROM r JOIN e ON e.page = r.page AND e.a = r.fill) SELECT page, fill, min(grp) AS grp FROM r GROUP BY page, fill""")
+def fill_groups(spark, sf_dir):
+    return H.fill_groups(tiles(spark, sf_dir), K)
+
+
+@query(HALVES + """, f AS (SELECT page, box AS fragment, 8.0 + box % 3 AS size, x0, x1, y1 AS base FROM a), k AS (SELECT page, box AS block, box % 4 AS n, x1 + 10 AS edge, 8.0 + box % 5 AS size, CASE WHEN box % 6 = 1 THEN 'ends.' ELSE 'goes on' END AS t, y1 AS base, x1 AS e FROM b),
+ met AS (SELECT f.page, f.fragment, k.block, f.x0, k.e FROM f JOIN k ON k.page = f.page AND abs(k.base - f.base) <= 0.3 * f.size AND (f.x0 - k.e BETWEEN 0 AND 1.5 * f.size OR (k.n >= 2 AND f.x1 <= k.edge + f.size AND f.x0 - k.e BETWEEN 0 AND 6 * f.size)) AND k.t = 'goes on' AND abs(k.size - f.size) <= 0.15 * f.size)
+ SELECT page, fragment, min(block) AS block FROM met WHERE NOT (30 < x0 AND 31 > e) GROUP BY page, fragment""")
+def fragment_hosts(spark, sf_dir):
+    c = F.col
+    even, odd = halves(spark, sf_dir)
+    loose = even.select("page", c("box").alias("fragment"), (8.0 + c("box") % 3).alias("size"), F.lit("times").alias("family"), c("y1").alias("baseline"), "x0", "x1")
+    blocks = odd.select("page", c("box").alias("block"), (c("box") % 4).alias("n_lines"), (c("x1") + 10).alias("right"), F.when(c("box") % 6 == 1, "ends.").otherwise("goes on").alias("text"), (8.0 + c("box") % 5).alias("size"), F.lit("times").alias("family"), c("y1").alias("baseline"), c("x1").alias("end"))
+    return H.fragment_hosts(loose, blocks, even.select("page").distinct().select("page", F.lit(30.0).alias("g0"), F.lit(31.0).alias("g1")), K)
+
+
+@query(r"SELECT page_id, regexp_matches(regexp_replace(html, '<[^>]*>', '', 'g'), '[\p{L}\p{N}]') AS said FROM pages")
+def cells_with_text(spark, sf_dir):
+    return A.read(spark, sf_dir, "pages").select("page_id", H.has_text(F.regexp_replace("html", "<[^>]*>", "")).alias("said"))
+
+
 # ---- tables -------------------------------------------------------------------------------------------
 
 CELLS = """WITH ce AS (SELECT p_partkey // 10 AS tab, CAST(p_partkey % 10 AS INT) AS row, CAST(p_size % 3 AS INT) AS col, p_name AS text, p_partkey % 10 * 10.0::DOUBLE AS y0, (p_partkey % 10 + 1 + p_size % 2) * 10.0::DOUBLE AS y1, p_size % 3 * 50.0::DOUBLE AS x0, (p_size % 3 + 1 + p_size % 4 // 2) * 50.0::DOUBLE AS x1 FROM part)"""
