@@ -108,13 +108,15 @@ def held_out(doc_id):
 
 
 def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Discriminant:
-    """Learn from the labelled rows out of the held-out fold, by one aggregation over all of them."""
+    """Learn from the labelled rows out of the held-out fold, by one aggregation over all of them, around the mean of all rows."""
     pairs = [(i, j) for i in range(len(STATISTICS)) for j in range(i, len(STATISTICS))]
     known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").filter(~held_out(F.col("labelled")))
+    base = [x or 0.0 for x in stats.agg(*[F.avg(s) for s in STATISTICS]).first()]  # near which sums of squares keep their digits
+    apart = [F.col(s) - b for s, b in zip(STATISTICS, base)]
     rows = (
         stats.join(known, F.col("doc_id") == F.col("labelled"))
         .groupBy("label")
-        .agg(F.count("*").alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(STATISTICS)], *[F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"q{i}_{j}") for i, j in pairs])
+        .agg(F.count("*").alias("n"), *[F.sum(s).alias(f"s{i}") for i, s in enumerate(apart)], *[F.sum(apart[i] * apart[j]).alias(f"q{i}_{j}") for i, j in pairs])
         .collect()  # two rows
     )
     moments = {}
@@ -123,7 +125,9 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Disc
         for i, j in pairs:
             product[i, j] = product[j, i] = r[f"q{i}_{j}"]
         moments[r["label"]] = (r["n"], np.array([r[f"s{i}"] for i in range(len(STATISTICS))]), product)
-    return discriminant(moments)
+    model = discriminant(moments)
+    model.centre = model.centre + np.array(base)
+    return model
 
 
 def classify(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

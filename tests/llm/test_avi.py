@@ -81,3 +81,29 @@ def test_clips(spark):
     assert (got[1].start_ms, got[1].end_ms, got[1].frames, got[1].error) == (160.0, 280.0, 3, None)
     assert got[2].error and got[3].error
     assert avi.clips(df.filter("false")).count() == 0
+
+
+def test_features_by_brute_force(docs):
+    """The shots of every stored text, from its bytes alone: a byte is a flat block, a frame FRAME bytes."""
+    got = {r.doc_id: r.feature for r in avi.media_digests(docs).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        raw = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        raw = raw.ljust(-(-len(raw) // avi.FRAME) * avi.FRAME, b"\0")
+        shares = []
+        for at in range(0, len(raw), avi.FRAME):
+            counts = [0] * 32
+            for b in raw[at : at + avi.FRAME]:
+                counts[b >> 3] += 1
+            shares.append([c / avi.FRAME for c in counts])
+        cuts, recent = [0], []
+        for i in range(1, len(shares)):
+            d = sum(abs(a - b) for a, b in zip(shares[i - 1], shares[i])) / 2
+            mean = sum(recent[-8:]) / len(recent[-8:]) if recent else 0.0
+            spread = (sum((v - mean) ** 2 for v in recent[-8:]) / len(recent[-8:])) ** 0.5 if recent else 0.0
+            if d > 0.5 or (recent and d > 0.12 and d > mean + 3 * spread):
+                cuts.append(i)
+                recent = []
+            else:
+                recent.append(d)
+        assert got[r.doc_id] == ";".join(f"{a * 40}-{b * 40}" for a, b in zip(cuts, [*cuts[1:], len(shares)]))

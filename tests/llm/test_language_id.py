@@ -69,3 +69,46 @@ def test_odd_rows(odd, none, spark):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {1, 4, None, 6, 7, 8} and kept.count() >= 5
     assert L.identify(none, pages).count() == 0 and L.keep_identified(none).count() == 0
     assert L.keep_identified(none.withColumnRenamed("row", "keep")).columns == [c if c != "row" else "keep" for c in odd.columns]
+
+
+def test_whole_query_by_brute_force(spark, sf_dir, docs):
+    """Every posterior, from the counted trigrams to the smoothed host, in plain Python over all rows."""
+    from collections import Counter, defaultdict
+
+    documents = [(r.doc_id, r.text or "", (r.lang or "").strip().lower() or None, (r.source or "").strip().lower() or None) for r in docs.collect()]
+    tally = defaultdict(Counter)
+    for _, text, lang, _ in documents:
+        if text and lang:
+            tally[lang].update(L.trigrams(text).tolist())
+    names = sorted(tally)
+    logs = {n: {k: np.float32(np.log((v + 0.5) / (sum(tally[n].values()) + 0.5 * L.BUCKETS))) for k, v in tally[n].items()} for n in names}
+    none = {n: np.float32(np.log(0.5 / (sum(tally[n].values()) + 0.5 * L.BUCKETS))) for n in names}
+
+    pages = L.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    rows = [("document", i, t, d, h, None, None) for i, t, d, h in documents] + [("page", r.k, r.text, r.declared, r.host, r.domain, r.suffix) for r in pages]
+    like = []
+    for row in rows:
+        at = L.trigrams(row[2]).tolist() if row[2] else []
+        like.append(np.array([sum(float(logs[n].get(k, none[n])) for k in at) / len(at) * min(len(at), L.INDEPENDENT) if at else 0.0 for n in names]))
+    soft = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in like]
+    whole = sum(soft)
+    sums = [defaultdict(lambda: np.zeros(len(names))) for _ in range(7)]
+    for row, p in zip(rows, soft):
+        for key in (3, 4, 5, 6):
+            if row[key] is not None:
+                sums[key][row[key]] = sums[key][row[key]] + p
+    got = {(r.kind, r.doc_id if r.kind == "document" else r.page_id): r for r in L.identify(docs, spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    assert len(got) == len(rows)
+    for row, ll, p in zip(rows, like, soft):
+        less = {key: np.maximum(sums[key][row[key]] - p, 0) if row[key] is not None else np.zeros(len(names)) for key in (3, 4, 5, 6)}
+        prior = np.maximum((whole - p + 1 / len(names)) / whole.sum(), 1e-9)
+        for key in (6, 5, 4):
+            prior = (less[key] + L.PRIOR_ROWS * prior) / (less[key].sum() + L.PRIOR_ROWS)
+        score = ll + np.log(prior)
+        for key in (3, 6):
+            if row[key] is not None:
+                score = score + np.log((less[key] + L.EVIDENCE_ROWS / len(sums[key])) / (np.maximum(whole - p, 0) + L.EVIDENCE_ROWS))
+        post = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        r = got[row[0], row[1]]
+        assert abs(r.confidence - post.max()) < 1e-4 and post[names.index(r.lang)] >= post.max() - 1e-4
+        assert r.keep == (any(ch.isalpha() for ch in row[2]) and r.confidence >= L.LEAST)

@@ -58,3 +58,23 @@ def test_run_is_its_stages(spark, sf_dir):
         docs = cut(stage(spark, docs, sf_dir))
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
+
+
+def test_odd_and_empty_rows(spark, sf_dir, odd, none):
+    """Nulls, repeated rows, very long texts and clashing names go through all stages, as does an empty table."""
+    docs = odd
+    kept = []
+    for _, stage in P.STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        assert docs.columns == odd.columns and docs.dtypes == odd.dtypes
+        kept.append(docs.count())
+    ids = sorted((r.doc_id for r in docs.collect()), key=repr)
+    assert kept[0] == odd.count() - 3 == kept[1] and ids == sorted([1, 4, 6, 7, 8, None], key=repr)  # of 4 the lines that 1 has are gone, and one of its two rows
+    rows = P.packed(spark, docs, sf_dir).collect()
+    check_rows(docs, rows)
+    docs = none
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0
+    bare = odd.select("doc_id", "text", "lang", "source")
+    assert P.without_repeated_lines(spark, bare, sf_dir).columns == bare.columns

@@ -48,3 +48,26 @@ def test_odd_rows(odd, none, spark):
         rows = quality.classify(odd, given).collect()
         assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert quality.classify(none, labels).count() == 0
+
+
+def test_whole_query_by_brute_force(spark, docs, sf_dir):
+    """Every score against plain numpy over the statistics of the training rows."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    x = np.array([quality.statistics(r.text or "") for r in rows])
+    learn = [i for i, r in enumerate(rows) if labels.get(r.doc_id) in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    y = np.array([labels[rows[i].doc_id] for i in learn])
+    centre, scale = x[learn].mean(0), x[learn].std(0)
+    z, p = (x - centre) / scale, len(quality.STATISTICS)
+    part = {c: z[learn][y == c] for c in (0, 1)}
+    cov = {c: np.cov(v.T, bias=True) for c, v in part.items()}
+    pooled = sum(len(part[c]) * cov[c] for c in (0, 1)) / len(y)
+    density = []
+    for c in (0, 1):
+        s = (1 - quality.POOL) * cov[c] + quality.POOL * pooled
+        s = (1 - quality.RIDGE) * s + quality.RIDGE * np.trace(s) / p * np.eye(p)
+        d = z - part[c].mean(0)
+        density.append(np.log(len(part[c]) / len(y)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / quality.SOFTEN, -500, 500)))
+    got = {r.doc_id: r.score for r in quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    assert np.allclose([got[r.doc_id] for r in rows], want, atol=1e-7)
