@@ -18,10 +18,10 @@ FOLD = rf"regexp_replace(regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g'),
 EDGES = f"""{P}, ed AS (SELECT *, {FOLD} AS fold FROM bd WHERE band <> 'body')"""
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 RUN = lambda reach: f"EXISTS (SELECT 1 FROM ed b WHERE b.file = a.file AND b.band = a.band AND b.fold = a.fold AND b.page <> a.page AND abs(b.page - a.page) <= {reach})"
-def _issue(name: str, half: int) -> str:
+def _issue(name: str, pages: str, text: str) -> str:
     """The pages of one issue with the words that do not run from page to page, as tables of a WITH clause."""
     run = f"EXISTS (SELECT 1 FROM {name}_ed b WHERE b.file = a.file AND b.band = a.band AND b.fold = a.fold AND abs(b.page - a.page) = 1)"
-    return f"""{name}_pg AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents WHERE doc_id % 2 = {half}),
+    return f"""{name}_pg AS (SELECT source AS file, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, {text} AS text FROM documents WHERE {pages}),
 {name}_ln AS (SELECT * FROM (SELECT file, page, generate_subscripts(parts, 1) - 1 AS line_no, len(parts) AS n_lines, unnest(parts) AS line FROM (SELECT *, string_split(text, chr(10)) AS parts FROM {name}_pg)) WHERE trim(line) <> ''),
 {name}_bd AS (SELECT *, CASE WHEN line_no < greatest(1, ceil(n_lines * 0.12)) THEN 'head' WHEN line_no >= n_lines - greatest(1, ceil(n_lines * 0.12)) THEN 'foot' ELSE 'body' END AS band FROM {name}_ln),
 {name}_ed AS MATERIALIZED (SELECT *, {FOLD} AS fold FROM {name}_bd WHERE band <> 'body'),
@@ -29,7 +29,8 @@ def _issue(name: str, half: int) -> str:
 {name} AS MATERIALIZED (SELECT p.file, p.page, coalesce(b.body, '') AS text FROM {name}_pg p LEFT JOIN (SELECT file, page, string_agg(line, ' ' ORDER BY line_no) FILTER (rep IS NOT TRUE) AS body FROM {name}_bd LEFT JOIN {name}_rn USING (file, page, line_no) GROUP BY file, page) b ON b.file = p.file AND b.page = p.page)"""
 
 
-ISSUES = "WITH " + _issue("old", 0) + ",\n" + _issue("new", 1)
+REVISED = "CASE WHEN doc_id % 5 = 0 THEN 'revised edition ' || text ELSE text END"
+ISSUES = "WITH " + _issue("old", "doc_id % 7 <> 1", "text") + ",\n" + _issue("new", "doc_id % 7 <> 0", REVISED)
 BIGRAMS = lambda t: f"""(SELECT file, page, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1] || ' '] ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS g FROM (SELECT file, page, {WORDS} AS w FROM {t}))"""
 LIKE = ISSUES + f""", oc AS MATERIALIZED (SELECT file, page, list_sort(g) AS g FROM {BIGRAMS('old')}), nc AS MATERIALIZED (SELECT file, page, list_sort(g) AS g FROM {BIGRAMS('new')}),
 od AS (SELECT file, g, min(page) AS page FROM oc GROUP BY file, g), nd AS (SELECT file, g, min(page) AS page FROM nc GROUP BY file, g),
@@ -44,16 +45,22 @@ def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.banded(A.lines(A.pages(A.read(spark, sf_dir, "documents"))))
 
 
-def issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two issues of each source: the documents of even and of odd ids, each numbered anew, without the lines that run from page to page."""
+def issue_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two issues of each source. Every seventh document is not in the old one, another seventh not in the new one, and every fifth is revised there."""
     docs = A.read(spark, sf_dir, "documents")
+    revised = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("revised edition "), F.col("text"))).otherwise(F.col("text"))
+    return A.pages(docs.filter("doc_id % 7 <> 1")), A.pages(docs.filter("doc_id % 7 <> 0").withColumn("text", revised))
+
 
-    def issue(half: int) -> DataFrame:
-        pages = A.pages(docs.filter(f"doc_id % 2 = {half}"))
+def issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The issues' pages without the lines that run from page to page."""
+
+    def body(pages: DataFrame) -> DataFrame:
         bodies = R.prints(A.banded(A.lines(pages))).select("file", "page", F.col("body").alias("text"))
         return pages.select("file", "page").join(bodies, ["file", "page"], "left").select("file", "page", F.coalesce("text", F.lit("")).alias("text"))
 
-    return issue(0), issue(1)
+    old, new = issue_pages(spark, sf_dir)
+    return body(old), body(new)
 
 
 def classed_issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -150,8 +157,7 @@ def page_match_dp(spark, sf_dir):
 
 @query()
 def page_match_kinds(spark, sf_dir):
-    docs = A.read(spark, sf_dir, "documents")
-    prints = [R.prints(A.banded(A.lines(A.pages(docs.filter(f"doc_id % 2 = {k}"))))) for k in (0, 1)]
+    prints = [R.prints(A.banded(A.lines(pages))) for pages in issue_pages(spark, sf_dir)]
     return R.classed(R.matched(*classed_issues(spark, sf_dir)), *prints)
 
 
