@@ -26,7 +26,7 @@ from ._arrow import chunks, cut, texts
 ORDER = 3
 ALPHA = 0.4
 LEAST = 1  # occurrences of an n-gram of two words and more in other documents that let it answer
-RUN_BYTES = 20 << 20
+RUN_BYTES = 16 << 20
 RANGE_KEYS = 1 << 20  # n-grams of one order to add up in one range, at most and on average
 KEY_BITS = 56
 RAW = 64  # bytes up to which nothing is compressed
@@ -219,14 +219,19 @@ def score(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int =
         ids = own.column("ids")[0].as_py()
         counts = []
         for n, key in enumerate(keys):
-            asked = np.flatnonzero(place >= n)
+            asked = place >= n
             distinct, at = np.unique(key[asked], return_inverse=True)
             ordered = sorted((part, i) for i, part in enumerate(parts) if part % order == n)
             totals = np.concatenate([np.zeros(0, np.uint64), *(expand(blobs[i].as_py()) for _, i in ordered)])
-            _, mine, times = np.unique(doc[asked] * np.int64(max(1, len(distinct))) + at, return_inverse=True, return_counts=True)
+            others = totals.astype(float)[at]
+            at += doc[asked] * np.int64(max(1, len(distinct)))  # a number for each document's own n-gram
+            del distinct, totals
+            _, mine, times = np.unique(at, return_inverse=True, return_counts=True)
+            others -= times[mine]
             full = np.zeros(len(place))
-            full[asked] = totals.astype(float)[at] - times[mine]
+            full[asked] = others
             counts.append(full)
+            del at, mine, times, others, full
         tokens, logs, single = score_parts(counts, doc, place, len(ids), least, alpha)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": tokens, "logs": logs, "single": single})
 
