@@ -11,6 +11,7 @@ from inkwright.operators import checks as C
 from inkwright.operators import convert as V
 from inkwright.operators import maths as M
 from inkwright.operators import notes as N
+from inkwright.operators import placing as Pl
 from inkwright.operators import quality as Q
 from inkwright.operators import readings as R
 from inkwright.operators import scoring as S
@@ -380,6 +381,37 @@ def listing_cells(spark, sf_dir):
     return A.read(spark, sf_dir, "part").select("p_partkey", Tb.listing_html(F.col("p_name"), items, F.lit("")).alias("html"), Tb.flat_listing(F.col("p_name"), items, F.lit("")).alias("flat"))
 
 
+@query(HALVES + """, h AS (SELECT b.page, b.box, a.box AS row FROM a JOIN b ON b.page = a.page AND (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 - 5 AND b.y1 + 5), f AS (SELECT page, box, min(row) AS to_row FROM h GROUP BY page, box HAVING count(DISTINCT row) > 1)
+ SELECT h.page, h.row, min(f.to_row) AS to_row FROM h JOIN f ON f.page = h.page AND f.box = h.box GROUP BY h.page, h.row""")
+def boxed_rows(spark, sf_dir):
+    even, odd = halves(spark, sf_dir)
+    return Pl.boxed_rows(even.withColumnRenamed("box", "row"), odd.withColumns({"y0": F.col("y0") - 5, "y1": F.col("y1") + 5}), K)
+
+
+@query(HALVES + """, m AS (SELECT a.page, a.box % 3 AS cell, a.box AS line, a.y0, arg_max(b.box, (least(a.y1, b.y1) - greatest(a.y0, b.y0), -b.box)) AS row FROM a JOIN b ON b.page = a.page AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY ALL)
+ SELECT page, cell, row, string_agg(CAST(line AS VARCHAR), ' ' ORDER BY y0, line) AS text FROM m GROUP BY ALL""")
+def dealt_lines(spark, sf_dir):
+    even, odd = halves(spark, sf_dir)
+    lines = even.select("page", (F.col("box") % 3).alias("cell"), F.col("box").alias("line"), F.col("box").cast("string").alias("text"), "y0", "y1")
+    return Pl.dealt_lines(lines, odd.select("page", F.col("box").alias("row"), F.col("y0").alias("top"), F.col("y1").alias("foot")), K)
+
+
+@query(HALVES + """, n AS (SELECT a.page, b.box // 4 AS tab, b.box AS col, a.y0, a.x0, a.box AS word FROM a JOIN b ON b.page = a.page AND b.y0 - a.y1 BETWEEN -3 AND 15 AND (a.x0 + a.x1) / 2 >= b.x0 AND (a.x0 + a.x1) / 2 < b.x1), f AS (SELECT page, tab, col, string_agg(CAST(word AS VARCHAR), ' ' ORDER BY y0, x0, word) AS text FROM n GROUP BY ALL)
+ SELECT * FROM f WHERE (page, tab) IN (SELECT (page, tab) FROM f GROUP BY page, tab HAVING count(*) > 1)""".replace("b.box // 4 AS tab", "b.box % 2 AS tab"))
+def headings_above(spark, sf_dir):
+    even, odd = halves(spark, sf_dir)
+    words = even.select("page", F.col("box").alias("word"), F.col("box").cast("string").alias("text"), "x0", "y0", "x1", "y1")
+    columns = odd.select("page", (F.col("box") % 2).alias("tab"), F.col("box").alias("col"), F.col("x0").alias("low"), F.col("x1").alias("high"), F.col("y0").alias("top"))
+    return Pl.headings_above(words, columns, K)
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(text, '[aeiou]+', '##', 'g') AS text, length(text) + 1 AS places, length(regexp_replace(text, '[aeiou]+', '##', 'g')) AS last FROM conversations WHERE text IS NOT NULL")
+def rewritten_places(spark, sf_dir):
+    rows = A.read(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    out = rows.select("conv_id", "turn", Pl.rewritten(F.col("text"), "[aeiou]+", "##").alias("r"))
+    return out.select("conv_id", "turn", "r.text", F.size("r.at").alias("places"), F.element_at("r.at", -1).alias("last"))
+
+
 # ---- gates and fates ----------------------------------------------------------------------------------
 
 

@@ -87,3 +87,19 @@ def test_sizes_of_marks(spark):
     rows = [(12.0, 12.0, 612.0, 792.0), (40.0, 40.0, 1920.0, 1080.0), (40.0, 40.0, 612.0, 792.0), (2.0, 12.0, 612.0, 792.0), (30.0, 10.0, 612.0, 792.0), (5.0, 5.0, None, None)]
     df = frame(spark, rows, "w double, h double, pw double, ph double")
     assert [r.m for r in df.select(H.mark_sized(*map(F.col, ("w", "h", "pw", "ph"))).alias("m")).collect()] == [True, True, False, False, False, True]
+
+
+def test_places_of_a_rewrite(spark):
+    from inkwright.operators import placing as P
+
+    df = frame(spark, [("ab12c3",), ("",), (None,), ("777",)], "t string").select("t", P.rewritten(F.col("t"), "[0-9]+", "<N>").alias("r"))
+    got = {r.t: (r.r.text, r.r.at) for r in df.collect()}
+    assert got["ab12c3"] == ("ab<N>c<N>", [0, 1, 2, 3, 5, 6, 9]) and got[""] == ("", [0]) and got["777"] == ("<N>", [0, 1, 2, 3]) and got[None] == (None, None)
+
+
+def test_headings_above_a_box(spark):
+    from inkwright.operators import placing as P
+
+    words = frame(spark, [(1, 0, "Name", 10.0, 80.0, 40.0, 90.0), (1, 1, "Amount", 60.0, 80.0, 90.0, 90.0), (1, 2, "far", 10.0, 10.0, 40.0, 20.0), (2, 0, "alone", 10.0, 80.0, 40.0, 90.0)], "page int, word int, text string, x0 double, y0 double, x1 double, y1 double")
+    columns = frame(spark, [(p, 1, c, 50.0 * c, 50.0 * c + 50, 95.0) for p in (1, 2) for c in (0, 1)], "page int, tab int, col int, low double, high double, top double")
+    assert sorted(map(tuple, P.headings_above(words, columns, ["page"]).collect())) == [(1, 1, 0, "Name"), (1, 1, 1, "Amount")]
