@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ._arrow import chunks
+
 BUCKETS = 1 << 15
 INDEPENDENT = 60  # trigrams that count in full; of longer texts the mean counts so often
 PRIOR_ROWS = 10.0  # rows' worth of the level above in a host's, domain's or suffix's prior
 EVIDENCE_ROWS = 1.0  # rows' worth of an even spread in what is declared
 BROADCAST_ROWS = 20_000  # of a table of soft counts, at some hundred bytes each
 LEAST = 0.5  # posterior of an accepted row
+TOGETHER = 1 << 20  # characters whose trigrams are counted at a time
 _LETTER = r"\p{L}"
 
 
@@ -50,11 +53,14 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(label, []).append(trigrams(text))
-            for label, parts in found.items():
-                sums[label] = sums.get(label, 0) + np.bincount(np.concatenate(parts), minlength=BUCKETS)
+            values = batch.column(0).to_pylist()
+            labels = batch.column(1).to_pylist()
+            for i, j in chunks(values, [len(t) for t in values], TOGETHER):
+                found: dict[str, list[np.ndarray]] = {}
+                for text, label in zip(values[i:j], labels[i:j]):
+                    found.setdefault(label, []).append(trigrams(text))
+                for label, parts in found.items():
+                    sums[label] = sums.get(label, 0) + np.bincount(np.concatenate(parts), minlength=BUCKETS)
         for label, values in sums.items():
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(values[at])], names=["label", "bucket", "n"])
