@@ -91,7 +91,9 @@ def hidden_characters(spark, sf_dir):
 def hidden_runs(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    rows = A.read(spark, sf_dir, "lineitem").withColumn("_n", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))).filter("_n = 1")
+    # lines of one order, number and part are taken in the order in which they are stored, so that the choice never hangs on the shuffle
+    stored = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    rows = A.read(spark, sf_dir, "lineitem").select("*", *stored).withColumn("_n", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "_file", "_at"))).filter("_n = 1")
     chars = rows.select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("at"), F.char(97 + F.col("l_partkey") % 26).alias("ch"), picked(("", "tiny", "covered"), F.col("l_suppkey")).alias("hidden"))
     return X.hidden_runs(chars, ["line"])
 
@@ -476,7 +478,9 @@ def wrapped_headings(spark, sf_dir):
     from pyspark.sql import Window as W
 
     c = F.col
-    rows = A.read(spark, sf_dir, "lineitem").withColumn("_n", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))).filter("_n = 1")
+    # lines of one order, number and part are taken in the order in which they are stored, so that the choice never hangs on the shuffle
+    stored = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    rows = A.read(spark, sf_dir, "lineitem").select("*", *stored).withColumn("_n", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "_file", "_at"))).filter("_n = 1")
     text = F.concat(F.lit("Title "), c("l_partkey").cast("string"), F.when(c("l_partkey") % 5 == 0, ".").otherwise(""))
     own = rows.select(c("l_orderkey").alias("page"), c("l_linenumber").alias("order"), (1 + c("l_suppkey") % 2).alias("level"), text.alias("text"), F.lit(12.0).alias("size"), (c("l_linenumber") * 12.0).alias("y0"), (c("l_linenumber") * 12.0 + 10).alias("y1"))
     return Z.wrapped_headings(own, ["page"])
