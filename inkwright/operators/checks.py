@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,11 +130,15 @@ def plain(text: str | None) -> str:
     """The Python twin of normalize, with composed characters."""
     import unicodedata
 
-    out = re.sub(r"<br/?>", " ", text or "")
-    for pattern in (r"\*\*([^\n]*?)\*\*", r"__([^\n]*?)__"):
+    out = text or ""
+    tagged, marked = "<" in out, "*" in out or "_" in out
+    if tagged:
+        out = re.sub(r"<br/?>", " ", out)
+    for pattern in (r"\*\*([^\n]*?)\*\*", r"__([^\n]*?)__") if marked else ():
         out = re.sub(pattern, r"\1", out)
-    out = re.sub(r"</?[bi]>", "", out)
-    for pattern in (r"\*([^\n]*?)\*", r"_([^\n]*?)_"):
+    if tagged or "<" in out:
+        out = re.sub(r"</?[bi]>", "", out)
+    for pattern in (r"\*([^\n]*?)\*", r"_([^\n]*?)_") if marked else ():
         out = re.sub(pattern, r"\1", out)
     return unicodedata.normalize("NFC", re.sub(r"\s+", " ", out)).translate(_FANCY)
 
@@ -142,21 +147,33 @@ def _least(diffs: int, query: str) -> float:
     return 1 - diffs / max(1, len(query))
 
 
+def near(a: str, b: str, least: float) -> bool:
+    """Whether the ratio of two texts reaches `least`; what equality or their lengths decide is not compared."""
+    if a == b or least >= 1:
+        return a == b
+    return 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) - 1e-9 and fuzzy.ratio(a, b) >= least
+
+
+@lru_cache(maxsize=8)
+def _grids(md: str, pipes: bool) -> list[tuple]:
+    """The tables of a page with their plain cells, kept while the checks of the page go by."""
+    return [(table, {at: plain(text) for at, text in table.cells.items()}) for table in parse_tables(md, pipes)]
+
+
 def run_table(c, md: str) -> bool:
     """Whether some table has the cell with all the neighbours asked for."""
     cell, diffs = plain(c.cell), int(c.max_diffs or 0)
     asks = {k: plain(getattr(c, k)) for k in ("up", "down", "left", "right", "top_heading", "left_heading") if getattr(c, k)}
-    for table in parse_tables(md, not c.ignore_markdown_tables):
-        grid = {at: plain(text) for at, text in table.cells.items()}
+    for table, grid in _grids(md, not c.ignore_markdown_tables):
         for (r, k), text in grid.items():
-            if fuzzy.ratio(cell, text) < max(0.5, _least(diffs, cell)):
+            if not near(cell, text, max(0.5, _least(diffs, cell))):
                 continue
             beside = {
                 "up": [(r - 1, k)], "down": [(r + 1, k)], "left": [(r, k - 1)], "right": [(r, k + 1)],
                 "top_heading": [(i, k) for i in range(r) if (i, k) in table.headers] or [(0, k)] * (r > 0),
                 "left_heading": [(r, i) for i in range(k) if (r, i) in table.headers] or [(r, 0)] * (k > 0),
             }
-            if all(any(at in grid and fuzzy.ratio(want, grid[at]) >= max(0.5, _least(diffs, want)) for at in beside[side]) for side, want in asks.items()):
+            if all(any(at in grid and near(want, grid[at], max(0.5, _least(diffs, want))) for at in beside[side]) for side, want in asks.items()):
                 return True
     return False
 
@@ -164,9 +181,9 @@ def run_table(c, md: str) -> bool:
 def run_list_item(c, md: str) -> bool:
     """Whether a list in a table's cell has the entry, under the heading if one is named."""
     want, heading = plain(c.item).strip(), plain(c.top_heading).strip()
-    for table in parse_tables(md, False):
+    for table, grid in _grids(md, False):
         for (r, k), entries in table.items.items():
-            if any(plain(e).strip() == want for e in entries) and (not heading or any(plain(table.cells[i, k]).strip() == heading for i in range(r) if (i, k) in table.headers)):
+            if any(plain(e).strip() == want for e in entries) and (not heading or any(grid[i, k].strip() == heading for i in range(r) if (i, k) in table.headers)):
                 return True
     return False
 
@@ -226,9 +243,10 @@ def run(checks: DataFrame, outputs: DataFrame) -> DataFrame:
     A check of a page without output fails. What the exact expressions leave open goes through one Arrow
     map, which reads a check and its page in the same row. Malformed checks fail too.
     """
-    joined = checks.join(outputs.select("pdf", "page", "repeat", "md"), ["pdf", "page"], "left")
     bad = malformed(checks).select("id", F.lit(True).alias("_bad")).distinct()
-    first = exact(joined).join(bad, "id", "left").withColumn("passed", F.when(F.col("md").isNull() | F.col("_bad"), False).otherwise(F.col("passed"))).drop("_bad")
+    # outputs come last and by a merge: they are moved once, the checks of a page follow each other, and tables that fit a broadcast are still dealt over many tasks
+    joined = checks.join(bad, "id", "left").join(outputs.select("pdf", "page", "repeat", "md").hint("merge"), ["pdf", "page"], "left")
+    first = exact(joined).withColumn("passed", F.when(F.col("md").isNull() | F.col("_bad"), False).otherwise(F.col("passed"))).drop("_bad")
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
