@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,19 @@ def headings_above(words: DataFrame, columns: DataFrame, keys: list[str], size:
     return found.join(enough, [*keys, "tab"], "left_semi")
 
 
+def places(rule: re.Pattern, replacement: str, value: str) -> tuple[str, np.ndarray]:
+    """The text rewritten, and where each of its places, and its end, went; four bytes a place, as a batch holds those of all its texts."""
+    out, at, done, shift = [], array("i"), 0, 0
+    for m in rule.finditer(value):
+        new = m.expand(replacement)
+        at.extend(range(done + shift, m.start() + shift))
+        at.extend(m.start() + shift + min(i, len(new)) for i in range(m.end() - m.start()))
+        out += [value[done : m.start()], new]
+        done, shift = m.end(), shift + len(new) - (m.end() - m.start())
+    at.extend(range(done + shift, len(value) + 1 + shift))
+    return "".join([*out, value[done:]]), np.frombuffer(at, "int32")
+
+
 def rewritten(text: Column, pattern: str, replacement: str) -> Column:
     """A struct of the text with the pattern replaced, and of the place that each of its places, and its end, has there.
 
@@ -47,20 +62,6 @@ def rewritten(text: Column, pattern: str, replacement: str) -> Column:
 
     @arrow("struct<text:string,at:array<int>>")
     def run(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for value in values:
-            if value is None:
-                rows.append((None, None))
-                continue
-            out, at, done, shift = [], [], 0, 0
-            for m in rule.finditer(value):
-                new = m.expand(replacement)
-                at += [i + shift for i in range(done, m.start())]
-                at += [m.start() + shift + min(i, len(new)) for i in range(m.end() - m.start())]
-                out += [value[done : m.start()], new]
-                done, shift = m.end(), shift + len(new) - (m.end() - m.start())
-            at += [i + shift for i in range(done, len(value) + 1)]
-            rows.append(("".join([*out, value[done:]]), at))
-        return pd.DataFrame(rows, columns=["text", "at"])
+        return pd.DataFrame([(None, None) if v is None else places(rule, replacement, v) for v in values], columns=["text", "at"])
 
     return run(text)
