@@ -123,7 +123,8 @@ def words_from_characters(spark, sf_dir):
  s AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page, row ORDER BY x0, x1) >= 5 THEN 1 ELSE 0 END AS c FROM r) SELECT page, count(DISTINCT row) AS rows, CAST(sum(c) AS BIGINT) + count(DISTINCT row) AS segments FROM s GROUP BY page""")
 def line_segments(spark, sf_dir):
     out = X.lines_of(boxes(spark, sf_dir), K, gap=0.5)
-    return out.groupBy("page").agg(F.count_distinct("row").alias("rows"), F.count_distinct("row", "segment").alias("segments"))
+    rows = out.groupBy("page", "row").agg((F.max("segment") + 1).alias("segments"))  # segments of a row are numbered from 0
+    return rows.groupBy("page").agg(F.count("*").alias("rows"), F.sum("segments").alias("segments"))
 
 
 @query(f"""WITH f AS (SELECT p_partkey, {quoted(FACES)}[p_partkey % {len(FACES)} + 1] AS font, p_size % 32 AS flags, p_name AS text FROM part)
