@@ -99,8 +99,11 @@ def ending_repeats(text: str, most: int = 5) -> list[int]:
 def exact(rows: DataFrame) -> DataFrame:
     """rows of checks joined to outputs (md) with `passed` for the types that JVM expressions answer exactly, null for the rest."""
     c = F.col
-    norm = T.normalize(F.coalesce(c("md"), F.lit("")))
-    given = lambda x: T.normalize(F.coalesce(c(x), F.lit("")))
+    plainly = lambda x, *types: F.when(c("type").isin(*types), T.normalize(F.coalesce(c(x), F.lit(""))))
+    made = rows.withColumns({  # as columns, or each place that names them makes them anew
+        "_norm": plainly("md", "present", "absent", "order"), "_text": plainly("text", "present", "absent", "format"), "_before": plainly("before", "order"), "_after": plainly("after", "order"),
+    })
+    norm, given = c("_norm"), lambda x: c(f"_{x}")
     lower = lambda x, on: F.when(on, x).otherwise(F.lower(x))
     cased = F.coalesce(c("case_sensitive"), F.lit(True))
     seen = holds(window(lower(norm, cased), F.coalesce(c("first_n"), F.lit(0)), F.coalesce(c("last_n"), F.lit(0))), lower(given("text"), cased))
@@ -120,7 +123,7 @@ def exact(rows: DataFrame) -> DataFrame:
         .when((c("type") == "baseline") & c("max_length").isNotNull(), True)
         .when((c("type") == "math") & F.contains(F.regexp_replace(c("md"), r"\s+", ""), F.regexp_replace(c("math"), r"\s+", "")), True)
     )
-    return rows.withColumn("passed", passed)
+    return made.withColumn("passed", passed).drop("_norm", "_text", "_before", "_after")
 
 
 _FANCY = str.maketrans(T.FANCY, T.PLAIN)
@@ -241,18 +244,21 @@ def run(checks: DataFrame, outputs: DataFrame) -> DataFrame:
     """id, pdf, page, type, repeat, passed: every check on every repeat of its page's output (pdf, page, repeat, md).
 
     A check of a page without output fails. What the exact expressions leave open goes through one Arrow
-    map, which reads a check and its page in the same row. Malformed checks fail too.
+    map, which reads a check and its page in the same row; of what is answered the page stays behind. Malformed checks fail too.
     """
     bad = malformed(checks).select("id", F.lit(True).alias("_bad")).distinct()
     # outputs come last and by a merge: they are moved once, the checks of a page follow each other, and tables that fit a broadcast are still dealt over many tasks
     joined = checks.join(bad, "id", "left").join(outputs.select("pdf", "page", "repeat", "md").hint("merge"), ["pdf", "page"], "left")
     first = exact(joined).withColumn("passed", F.when(F.col("md").isNull() | F.col("_bad"), False).otherwise(F.col("passed"))).drop("_bad")
+    first = first.withColumn("md", F.when(F.col("passed").isNull(), F.col("md")))
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            done = [r.passed if r.passed is not None else run_one(r, r.md) for r in pdf.itertuples(index=False)]
-            yield pdf[["id", "pdf", "page", "type", "repeat"]].assign(passed=[bool(x) for x in done])
+            left = pdf.passed.isna().to_numpy()
+            plain_rows = lambda df: df.astype(object).where(df.notna(), None)
+            done = pdf.passed.astype(object).to_numpy(copy=True)
+            done[left] = [run_one(r, r.md) for r in plain_rows(pdf[left]).itertuples(index=False)]
+            yield plain_rows(pdf[["id", "pdf", "page", "type", "repeat"]]).assign(passed=[bool(x) for x in done])
 
     columns = {f.name: f.dataType.simpleString() for f in first.schema}
     return first.mapInPandas(rest, ", ".join(f"{c} {columns[c]}" for c in ("id", "pdf", "page", "type", "repeat")) + ", passed boolean")
