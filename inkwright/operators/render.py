@@ -131,18 +131,21 @@ def front_matter(bodies: DataFrame, keys: list[str], by: str = "inkwright") -> D
 def hyphen_join(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """pairs (above, below) with joined: a hyphen at a line's end dropped, kept or spaced, by a vocabulary (word) of any size.
 
-    The three words asked about meet the vocabulary by semi-joins on the word, so it is never broadcast unless it is small.
+    The three words asked about meet the vocabulary by semi-joins on the word, so it is never broadcast unless it is small; lines
+    are moved once, to meet what is known of their two words.
     A half with a capital or digit, or a compound of two known words, keeps its hyphen; a function word keeps its space;
     a prefix closes up unless two vowels meet; what the vocabulary does not know closes up.
     """
     c = F.col
-    a = F.lower(F.regexp_replace(F.regexp_extract("above", r"(\S+)-$", 1), r"""^[(\["']+""", ""))
+    a = F.lower(F.regexp_replace(F.regexp_extract("above", r"(?<!\S)(\S+)-$", 1), r"""^[(\["']+""", ""))  # from a word's start, or each of its letters is tried as one
     b = F.lower(F.regexp_replace(F.regexp_extract("below", r"^(\S+)", 1), r"""^[.,;:!?)\]"']+|[.,;:!?)\]"']+$""", ""))
-    rows = pairs.withColumns({"_id": F.xxhash64("above", "below"), "_a": a, "_b": b})
-    asked = rows.select("_a", "_b").distinct().select(F.explode(F.array("_a", "_b", F.concat("_a", "_b"))).alias("word")).distinct()
+    rows = pairs.withColumns({"_a": a, "_b": b})
+    met = rows.select("_a", "_b").distinct()
+    asked = met.select(F.explode(F.array("_a", "_b", F.concat("_a", "_b"))).alias("word")).distinct()
     known = asked.join(vocabulary.select("word"), "word", "left_semi")
     mark = lambda df, expr, name: df.join(known.select(F.col("word").alias(f"_w{name}"), F.lit(True).alias(name)), expr == F.col(f"_w{name}"), "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    rows = mark(mark(mark(rows, c("_a"), "_ka"), c("_b"), "_kb"), F.concat("_a", "_b"), "_kab")
+    told = mark(mark(mark(met, c("_a"), "_ka"), c("_b"), "_kb"), F.concat("_a", "_b"), "_kab").select(c("_a").alias("_ta"), c("_b").alias("_tb"), "_ka", "_kb", "_kab")
+    rows = rows.join(told, c("_a").eqNullSafe(c("_ta")) & c("_b").eqNullSafe(c("_tb")), "left")
     word = r"^\p{L}+$"
     closed, kept, spaced = F.concat(F.regexp_replace("above", "-$", ""), c("below")), F.concat("above", "below"), F.concat_ws(" ", "above", "below")
     alpha = c("_a").rlike(word)

@@ -246,8 +246,10 @@ def paragraph_join(spark, sf_dir):
 def hyphen_join(spark, sf_dir):
     text = docs(spark, sf_dir)
     vocabulary = text.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 5")
-    pair = F.posexplode(F.split("text", "\n")).alias("pos", "above")
-    rows = text.select("doc_id", "text", pair).withColumn("below", F.get(F.split("text", "\n"), F.col("pos") + 1)).filter("below IS NOT NULL").select("doc_id", "pos", F.concat("above", F.lit("-")).alias("above"), "below")
+    lines = text.select("doc_id", F.split("text", "\n").alias("lines"))
+    above, below = F.slice("lines", F.lit(1), F.size("lines") - 1), F.slice("lines", F.lit(2), F.size("lines") - 1)
+    pair = F.posexplode(F.arrays_zip(above.alias("above"), below.alias("below"))).alias("pos", "pair")
+    rows = lines.select("doc_id", pair).select("doc_id", "pos", F.concat("pair.above", F.lit("-")).alias("above"), "pair.below")
     return render.hyphen_join(rows, vocabulary)
 
 
