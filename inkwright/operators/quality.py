@@ -31,12 +31,12 @@ def _judged(tokens: Column) -> Column:
 
 def token_shares(pages: DataFrame) -> DataFrame:
     """pages with judged, garbled, garbage_share, wordlike_share, language_share and numeric_share of their tokens."""
-    split = pages.withColumn("_t", T.tokens(F.coalesce(F.col("text"), F.lit("")))).withColumn("_j", _judged(F.col("_t")))
+    split = pages.withColumn("_t", T.tokens(F.coalesce(F.col("text"), F.lit("")))).withColumn("_j", _judged(F.col("_t"))).withColumn("_v", T.vowel_shares(F.col("_t")))
     n = F.size("_t")
-    part = lambda test: F.size(F.filter("_t", test))
+    part = lambda test, of="_t": F.size(F.filter(of, test))
     return split.select(
         *pages.columns, F.size("_j").alias("judged"), F.size(T.garbled_of(F.col("_j"))).alias("garbled"),
-        n.alias("n_tokens"), part(T.wordlike).alias("wordlike"), part(T.language_like).alias("language_like"), part(lambda t: t.rlike(r"^[$€£(<>≤≥~+\-−]*[0-9][0-9.,]*%?[)*†]*$")).alias("numeric"),
+        n.alias("n_tokens"), part(T.wordlike, "_v").alias("wordlike"), part(T.language_like, "_v").alias("language_like"), part(lambda t: t.rlike(r"^[$€£(<>≤≥~+\-−]*[0-9][0-9.,]*%?[)*†]*$")).alias("numeric"),
     ).withColumns({
         "garbage_share": T.share(F.col("garbled"), F.col("judged")), "wordlike_share": T.share(F.col("wordlike"), F.col("n_tokens")),
         "language_share": T.share(F.col("language_like"), F.col("n_tokens")), "numeric_share": T.share(F.col("numeric"), F.col("n_tokens")),
