@@ -7,10 +7,13 @@ they can say it; the rest goes through one Arrow function, which reads a check a
 from __future__ import annotations
 
 import re
+from collections import defaultdict, namedtuple
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +130,7 @@ def exact(rows: DataFrame) -> DataFrame:
 
 
 _FANCY = str.maketrans(T.FANCY, T.PLAIN)
+_UNPLAIN = re.compile(r"[<*_\t-\r\x1c-\x1f]|  ")  # what of ASCII is not plain
 
 
 def plain(text: str | None) -> str:
@@ -134,6 +138,8 @@ def plain(text: str | None) -> str:
     import unicodedata
 
     out = text or ""
+    if out.isascii() and not _UNPLAIN.search(out):
+        return out
     tagged, marked = "<" in out, "*" in out or "_" in out
     if tagged:
         out = re.sub(r"<br/?>", " ", out)
@@ -181,14 +187,29 @@ def run_table(c, md: str) -> bool:
     return False
 
 
-def run_list_item(c, md: str) -> bool:
-    """Whether a list in a table's cell has the entry, under the heading if one is named."""
-    want, heading = plain(c.item).strip(), plain(c.top_heading).strip()
-    for table, grid in _grids(md, False):
+@lru_cache(maxsize=8)
+def _entries(md: str) -> dict[str, list[tuple]]:
+    """The places (table, row, column) of each plain entry of a list in a table's cell, kept while the checks of the page go by."""
+    places = defaultdict(list)
+    for table in parse_tables(md, False):
         for (r, k), entries in table.items.items():
-            if any(plain(e).strip() == want for e in entries) and (not heading or any(grid[i, k].strip() == heading for i in range(r) if (i, k) in table.headers)):
-                return True
-    return False
+            for entry in dict.fromkeys(entries):
+                places[plain(entry).strip()].append((table, r, k))
+    return dict(places)
+
+
+def _has_entry(md: str, item: str | None, top_heading: str | None) -> bool:
+    want, heading = plain(item).strip(), plain(top_heading).strip()
+    return any(not heading or any((i, k) in t.headers and plain(t.cells[i, k]).strip() == heading for i in range(r)) for t, r, k in _entries(md).get(want, ()))
+
+
+_has_entry_kept = lru_cache(maxsize=32_768)(_has_entry)  # of short texts: some 16 million characters at most
+
+
+def run_list_item(c, md: str) -> bool:
+    """Whether a list in a table's cell has the entry, under the heading if one is named. What was asked of a short page is not worked out again where page and check are equal."""
+    asked = md, c.item, c.top_heading
+    return (_has_entry_kept if sum(len(t or "") for t in asked) <= 500 else _has_entry)(*asked)
 
 
 def run_footnote(c, md: str) -> bool:
@@ -240,6 +261,20 @@ def run_one(c, md: str) -> bool:
     return {"table": run_table, "list_item": run_list_item, "footnote": run_footnote}[kind](c, md)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows by name. Columns of nulls alone are not turned into values, and a page that many checks share is one string."""
+
+    def values(column: pa.Array):
+        if column.null_count == len(column):
+            return repeat(None, len(column))
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            coded = column.dictionary_encode(null_encoding="encode")
+            return coded.dictionary.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()].tolist()
+        return column.to_pylist()
+
+    return map(namedtuple("Check", batch.schema.names, rename=True)._make, zip(*map(values, batch.columns)))
+
+
 def run(checks: DataFrame, outputs: DataFrame) -> DataFrame:
     """id, pdf, page, type, repeat, passed: every check on every repeat of its page's output (pdf, page, repeat, md).
 
@@ -252,16 +287,17 @@ def run(checks: DataFrame, outputs: DataFrame) -> DataFrame:
     first = exact(joined).withColumn("passed", F.when(F.col("md").isNull() | F.col("_bad"), False).otherwise(F.col("passed"))).drop("_bad")
     first = first.withColumn("md", F.when(F.col("passed").isNull(), F.col("md")))
 
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            left = pdf.passed.isna().to_numpy()
-            plain_rows = lambda df: df.astype(object).where(df.notna(), None)
-            done = pdf.passed.astype(object).to_numpy(copy=True)
-            done[left] = [run_one(r, r.md) for r in plain_rows(pdf[left]).itertuples(index=False)]
-            yield plain_rows(pdf[["id", "pdf", "page", "type", "repeat"]]).assign(passed=[bool(x) for x in done])
+    kept = ("id", "pdf", "page", "type", "repeat")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = batch.column("passed")
+            answers = [run_one(c, c.md) for c in _rows(batch.filter(pc.is_null(passed)))]
+            done = pc.replace_with_mask(passed, pc.is_null(passed), pa.array(answers, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), done], [*kept, "passed"])
 
     columns = {f.name: f.dataType.simpleString() for f in first.schema}
-    return first.mapInPandas(rest, ", ".join(f"{c} {columns[c]}" for c in ("id", "pdf", "page", "type", "repeat")) + ", passed boolean")
+    return first.mapInArrow(rest, ", ".join(f"{c} {columns[c]}" for c in kept) + ", passed boolean")
 
 
 def majority(results: DataFrame) -> DataFrame:
